@@ -157,12 +157,42 @@ FROM {part}""",
     "node_tests": """
 SELECT concat('test.shop.t', cast(l_orderkey AS string), '_', cast(l_linenumber AS string), '_',
               cast(l_partkey AS string)) AS unique_id,
-       concat(l_returnflag, '_rule_', cast(l_orderkey % 3 AS string)) AS name,
-       CASE WHEN l_orderkey % 19 <> 0 THEN concat('model.shop.m', cast(l_partkey AS string)) END
-           AS attached_node,
+       concat(min(l_returnflag), '_rule_', cast(l_orderkey % 3 AS string)) AS name,
+       CASE WHEN l_orderkey % 19 = 0 THEN NULL
+            WHEN l_orderkey % 19 = 1 THEN concat('source.shop.raw.s', cast(min(l_suppkey) AS string))
+            ELSE concat('model.shop.m', cast(l_partkey AS string)) END AS attached_node,
        CASE WHEN l_orderkey % 23 <> 0 THEN concat('c', cast(l_linenumber AS string)) END
-           AS column_name
-FROM {lineitem}""",
+           AS column_name,
+       CASE WHEN l_orderkey % 19 = 0
+            THEN concat('get_where(source(', chr(39), 'raw', chr(39), ', ', chr(39), 's',
+                        cast(min(l_suppkey) AS string), chr(39), '))') END AS test_model
+FROM {lineitem} GROUP BY l_orderkey, l_linenumber, l_partkey""",
+    "node_sources": """
+SELECT concat('source.shop.raw.s', cast(s_suppkey AS string)) AS unique_id,
+       'raw' AS source_name, concat('s', cast(s_suppkey AS string)) AS name,
+       CASE WHEN s_suppkey % 4 <> 0 THEN concat('s', cast(s_suppkey AS string), '_raw') END
+           AS identifier,
+       CASE WHEN s_suppkey % 10 <> 0 THEN 'bronze' END AS schema
+FROM {supplier}""",
+    "test_results": """
+SELECT 'run-1' AS invocation_id, '1999-01-01T00:00:20Z' AS invocation_started_at,
+       '1999-01-01T00:00:23Z' AS generated_at,
+       concat('test.shop.t', cast(l_orderkey AS string), '_', cast(l_linenumber AS string), '_',
+              cast(l_partkey AS string)) AS unique_id,
+       CASE l_returnflag WHEN 'R' THEN 'fail' WHEN 'A' THEN 'warn' ELSE 'pass' END AS status,
+       l_tax * 12.5 AS execution_time,
+       CASE l_returnflag WHEN 'R' THEN l_orderkey % 7 END AS failures,
+       CASE l_returnflag WHEN 'R' THEN l_linestatus END AS message
+FROM {lineitem}
+UNION ALL
+SELECT 'run-1', '1999-01-01T00:00:20Z', '1999-01-01T00:00:23Z',
+       concat('model.shop.m', cast(p_partkey AS string)), 'success', p_retailprice / 100, NULL, NULL
+FROM {part}""",
+    "freshness_logs": """
+SELECT date_trunc('second', ts) AS check_timestamp, event_id % 300 AS freshness_lag_minutes,
+       CASE WHEN event_id % 300 > 295 THEN 'STALE' WHEN event_id % 300 > 120 THEN 'DELAYED'
+            ELSE 'HEALTHY' END AS status
+FROM {events}""",
     "ingestion_logs": """
 SELECT concat('log-', cast(event_id AS string)) AS log_id,
        date_trunc('second', ts) AS run_timestamp,

@@ -95,14 +95,14 @@ SELECT md5(concat(s.sls_ord_num, '-', s.sls_prd_key)) AS sales_item_key,
        md5(cast(c.cst_id AS varchar)) AS customer_key, p.product_key,
        s.sls_ord_num AS order_number, {d('s.sls_order_dt')} AS order_date,
        {d('s.sls_ship_dt')} AS ship_date, {d('s.sls_due_dt')} AS due_date,
-       s.sls_quantity AS quantity, {r('s.sls_price', 8)} AS unit_price,
-       {r('s.sls_sales', 8)} AS gross_sales_amount
+       s.sls_quantity AS quantity, {r('cast(s.sls_price AS decimal(38, 9))', 6)} AS unit_price,
+       {r('cast(s.sls_sales AS decimal(38, 9))', 6)} AS gross_sales_amount
 FROM stg_sales s LEFT JOIN stg_customer c ON s.sls_cust_id = c.cst_id
 LEFT JOIN dim_products p ON s.sls_prd_key = cast(p.product_id AS varchar)""",
     (*SILVER, "dim_products"),
 )
 def _(t):
-    return rounded(built_fact(t), 8, "unit_price", "gross_sales_amount")
+    return rounded(built_fact(t), 6, "unit_price", "gross_sales_amount")
 
 
 MONTHS = "((year({0}) - year({1})) * 12 + month({0}) - month({1}))"

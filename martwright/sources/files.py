@@ -74,8 +74,9 @@ def discover_csvs(spark: SparkSession, root: str) -> list[tuple[str, str]]:
         if not is_dir or folder in SKIP_FOLDERS:
             continue
         prefix = FOLDER_PREFIX.get(folder, folder)
-        for name, path, nested in list_dir(spark, folder_path):
-            if name.endswith(".csv") and not nested:
+        # A CSV may be one file or a directory of part files.
+        for name, path, _ in list_dir(spark, folder_path):
+            if name.endswith(".csv"):
                 found.append((path, f"{prefix}_{name.removesuffix('.csv')}".lower()))
     return found
 
@@ -106,10 +107,13 @@ def read_artifact(spark: SparkSession, path: str, schema: T.StructType) -> DataF
 
 def read_section(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """A telemetry section with its declared columns; empty when absent or unreadable."""
+    empty = spark.createDataFrame([], schema)
+    if not path_exists(spark, path):
+        return empty
     try:
         found = spark.read.parquet(path)
     except AnalysisException:
-        return spark.createDataFrame([], schema)
+        return empty
     known = set(found.columns)
     return found.select(
         *[

@@ -120,6 +120,8 @@ def replicate_tables(spark: SparkSession, source: str, target: str, tables: list
     for name in tables:
         try:
             checked_name(name)
+            if not path_exists(spark, f"{source}/{name}"):
+                raise FileNotFoundError(f"no such table: {name}")
             copied = refresh_table(spark.read.parquet(f"{source}/{name}"), f"{target}/{name}")
             rows.append((name, copied, "success", None))
         except Exception as error:  # noqa: BLE001
