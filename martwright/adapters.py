@@ -42,14 +42,15 @@ SELECT md5(cast(c_custkey AS string)) AS customer_key,
        concat('AW', lpad(cast(c_custkey AS string), 8, '0')) AS customer_number,
        CASE WHEN c_custkey % 43 <> 0 THEN split_part(c_name, '#', 1) END AS first_name,
        cast(c_custkey % 800 AS string) AS last_name,
-       CASE WHEN c_custkey % 41 <> 0 THEN n_name END AS country,
+       CASE WHEN c_custkey % 41 <> 0 THEN concat('NATION_', cast(c_nationkey AS string)) END
+           AS country,
        CASE c_custkey % 3 WHEN 0 THEN 'Single' WHEN 1 THEN 'Married' END AS marital_status,
        CASE c_custkey % 5 WHEN 0 THEN 'Female' WHEN 1 THEN 'Male' WHEN 2 THEN 'Male'
             WHEN 3 THEN 'Female' END AS gender,
        CASE WHEN c_custkey % 31 <> 0
             THEN date '1930-01-01' + cast((c_custkey * 37) % 20000 AS int) END AS birthdate,
        date '1994-01-01' + cast(c_custkey % 300 AS int) AS create_date
-FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey""",
+FROM {customer}""",
     # --- bronze shape, with dirt ------------------------------------------
     "crm_cust_info": """
 SELECT cst_id, cst_key, cst_firstname, cst_lastname, cst_marital_status, cst_gndr,

@@ -432,7 +432,7 @@ def segment_counts_since(
 def merged_kpi_totals(fact: DataFrame, products: DataFrame, customers: DataFrame) -> DataFrame:
     """Four totals over the three-way merge."""
     joined = keyed_join(fact, products.select("product_key"), "product_key")
-    joined = keyed_join(joined, customers.select("customer_key"), "customer_key")
+    joined = keyed_join(joined, customers.select("customer_key"), "customer_key", profile=fact)
     return joined.agg(
         F.sum("gross_sales_amount").alias("total_sales"),
         F.count_distinct("order_number").alias("total_orders"),

@@ -26,7 +26,8 @@ def dim_customers(customers: DataFrame, demographics: DataFrame, locations: Data
     )
     loc = locations.select(F.col("cid").alias("customer_number"), F.col("cntry").alias("country"))
     crm = customers.withColumn("customer_number", F.col("cst_key"))
-    joined = keyed_join(keyed_join(crm, demo, "customer_number"), loc, "customer_number")
+    joined = keyed_join(crm, demo, "customer_number")
+    joined = keyed_join(joined, loc, "customer_number", profile=crm)
     return joined.select(
         surrogate_key("cst_id").alias("customer_key"),
         F.col("cst_id").alias("customer_id"),
@@ -69,7 +70,8 @@ def fct_sales(sales: DataFrame, customers: DataFrame, products: DataFrame) -> Da
     """Sales lines with both surrogate keys; unmatched keys stay NULL."""
     cust = customers.select("customer_key", F.col("customer_id").alias("sls_cust_id"))
     prod = products.select("product_key", F.col("product_number").alias("sls_prd_key"))
-    joined = keyed_join(keyed_join(sales, cust, "sls_cust_id"), prod, "sls_prd_key")
+    joined = keyed_join(sales, cust, "sls_cust_id")
+    joined = keyed_join(joined, prod, "sls_prd_key", profile=sales)
     return joined.select(
         surrogate_key("sls_ord_num", "sls_prd_key").alias("sales_item_key"),
         "customer_key",

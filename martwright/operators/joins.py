@@ -19,6 +19,7 @@ def keyed_join(
     how: str = "left",
     rows_per_salt: int = ROWS_PER_SALT,
     small_bytes: int | None = None,
+    profile: DataFrame | None = None,
 ) -> DataFrame:
     """Left or inner join of a large side to a lookup side on shared key columns.
 
@@ -28,7 +29,8 @@ def keyed_join(
     rows are spread over several tasks: their left rows get a salt from the row
     hash, their right rows are repeated once per salt. NULL keys match nothing,
     so they are spread without repeating anything. Every row is kept; keys that
-    miss the hot list are joined unsalted.
+    miss the hot list are joined unsalted. ``profile`` is a cheaper frame with the
+    same key values to count them on, such as the base table below earlier joins.
     """
     on = [on] if isinstance(on, str) else list(on)
     if how not in ("left", "inner"):
@@ -39,7 +41,8 @@ def keyed_join(
         return left.join(right, on, how)
 
     hot = (
-        left.dropna(subset=on)
+        (left if profile is None else profile)
+        .dropna(subset=on)
         .groupBy(*on)
         .agg(F.count(F.lit(1)).alias("_rows"))
         .filter(F.col("_rows") > rows_per_salt)

@@ -204,7 +204,8 @@ def execution_logs(
     from_text = source_target(nodes, sources).withColumnRenamed("target_table", "_source")
     joined = keyed_join(results, own, "unique_id")
     joined = keyed_join(joined, parents, "_attached")
-    joined = keyed_join(joined, from_text, "unique_id").withColumns(_node_fields())
+    joined = keyed_join(joined, from_text, "unique_id", profile=results)
+    joined = joined.withColumns(_node_fields())
     target = (
         F.when(F.col("_kind") == "model", F.col("_own"))
         .when(F.col("_attached").isNotNull(), F.col("_parent"))

@@ -14,31 +14,40 @@ from martwright.adapters import portable_sql, shaped
 
 @dataclass(frozen=True)
 class Query:
-    run: Callable[[SparkSession, str], DataFrame]
+    function: Callable[[Tables], DataFrame]
     sql: str | None
 
+    def run(self, spark: SparkSession, folder: str) -> DataFrame:
+        return self.on(Tables(spark, folder))
+
+    def on(self, tables: Tables) -> DataFrame:
+        return plain(self.function(tables))
+
 
 class Catalog(dict):
     """Name → Query; ``add`` is the decorator the sections register with."""
 
     def add(self, name: str, sql: str | None = None, uses: tuple[str, ...] = ()):
         def register(function):
-            self[name] = Query(
-                lambda spark, folder: plain(function(Tables(spark, folder))),
-                None if sql is None else with_shapes(sql, uses),
-            )
+            self[name] = Query(function, None if sql is None else with_shapes(sql, uses))
             return function
 
         return register
 
 
 class Tables:
-    """Lazy access to the adapted tables of one folder by attribute."""
+    """Lazy access to the tables of one folder by attribute.
+
+    Adapted shapes are derived from the benchmark tables unless ``stored`` names
+    a directory that holds them.
+    """
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
+    def __init__(self, spark: SparkSession, folder: str, stored: dict[str, str] | None = None):
+        self.spark, self.folder, self.stored = spark, folder, stored or {}
 
     def __getattr__(self, name: str) -> DataFrame:
+        if name in self.stored:
+            return self.spark.read.parquet(self.stored[name])
         if name in SHAPES:
             return shaped(self.spark, self.folder, name)
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")

@@ -30,7 +30,8 @@ def merged_sales(
     recent = fact.filter(day >= F.lit(min_date).cast("date")).withColumn("order_date", day)
     prod = products.select("product_key", "product_name", "category", "cost")
     cust = customers.select("customer_key", "first_name", "last_name", "country")
-    joined = keyed_join(keyed_join(recent, prod, "product_key"), cust, "customer_key")
+    joined = keyed_join(recent, prod, "product_key")
+    joined = keyed_join(joined, cust, "customer_key", profile=recent)
     if ordered or limit is not None:
         joined = joined.orderBy(
             "sales_item_key", "order_date", "quantity", "gross_sales_amount", "unit_price"
