@@ -25,10 +25,12 @@ class Check:
     failing: Column | None = None
     parent: str | None = None
     parent_column: str | None = None
+    label: str = ""
 
     @property
     def name(self) -> str:
-        return f"{self.rule}_{self.table}_{self.column}"
+        name = f"{self.rule}_{self.table}_{self.column}"
+        return f"{name}_{self.label}" if self.label else name
 
 
 def not_null(table: str, column: str, severity: str = "error") -> Check:
@@ -52,9 +54,12 @@ def relationships(
     )
 
 
-def expression(table: str, column: str, rest: str, severity: str = "error") -> Check:
-    """``column rest`` must not be false; NULL passes."""
-    return Check(table, "expression_is_true", column, severity, ~F.expr(f"{column} {rest}"))
+def expression(
+    table: str, column: str, rest: str, severity: str = "error", label: str = ""
+) -> Check:
+    """``column rest`` must not be false; NULL passes. ``label`` tells two on a column apart."""
+    failing = ~F.expr(f"{column} {rest}")
+    return Check(table, "expression_is_true", column, severity, failing, label=label)
 
 
 def clean_trimmed(table: str, column: str, severity: str = "error") -> Check:

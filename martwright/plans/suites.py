@@ -108,7 +108,7 @@ def silver_checks() -> list[Check]:
         *_each(clean_trimmed, demo, "cid gen", "error"),
         relationships(demo, "cid", cust, "cst_key"),
         expression(demo, "bdate", "<= current_date()"),
-        expression(demo, "bdate", since_1900, "warn"),
+        expression(demo, "bdate", since_1900, "warn", label="since_1900"),
         accepted(demo, "gen", ["Male", "Female"]),
         *_each(not_null, loc, "cid", "error"),
         *_each(unique, loc, "cid", "error"),

@@ -82,27 +82,22 @@ def discover_csvs(spark: SparkSession, root: str) -> list[tuple[str, str]]:
 
 
 def parse_artifact(df: DataFrame, column: str, schema: T.StructType | str) -> DataFrame:
-    """JSON text column → typed struct columns; NULL row where it is no JSON object."""
-    is_object = F.ltrim(F.col(column)).startswith("{")
-    parsed = F.from_json(F.col(column), schema, {"mode": "PERMISSIVE"})
-    return df.withColumn("artifact", F.when(is_object, parsed))
+    """JSON text column → typed struct; NULL where it is no JSON object."""
+    is_object = F.json_object_keys(column).isNotNull()
+    return df.withColumn("artifact", F.when(is_object, F.from_json(column, schema)))
 
 
 def read_artifact(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """One JSON object per file; a missing path and bad JSON are distinct errors."""
     if not path_exists(spark, path):
         raise ArtifactMissing(path)
-    marker = "_corrupt"
-    typed = T.StructType([*schema.fields, T.StructField(marker, T.StringType())])
     text = spark.read.text(path, wholetext=True)
-    parsed = text.select(
-        F.ltrim("value").startswith("{").alias("_object"),
-        F.from_json("value", typed, {"columnNameOfCorruptRecord": marker}).alias("_a"),
-    )
-    bad = parsed.filter(~F.col("_object") | F.col("_a").isNull() | F.col(f"_a.{marker}").isNotNull())
-    if not bad.isEmpty():
+    # The keys of anything but a complete JSON object are NULL.
+    judged = text.select("value", F.json_object_keys("value").isNotNull().alias("_object"))
+    if judged.isEmpty() or not judged.filter(~F.col("_object")).isEmpty():
         raise ArtifactMalformed(f"{path} must contain a JSON object")
-    return parsed.select(*[F.col(f"_a.{n}").alias(n) for n in schema.names])
+    parsed = text.select(F.from_json("value", schema).alias("_a"))
+    return parsed.select("_a.*")
 
 
 def read_section(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
