@@ -292,16 +292,26 @@ def sales_margin_trend(df: DataFrame, start, end, grain: str = "auto") -> DataFr
             F.count_if(~F.coalesce(usable, F.lit(False))).alias("missing_cost"),
         )
     )
-    # One row per period from here on.
-    step = F.expr("interval 1 day" if grain == "day" else "interval 1 month")
-    floor = F.min("period") if grain == "day" else F.trunc(F.min("period"), "month")
-    spine = measured.agg(F.sequence(floor, F.max("period"), step).alias("_all")).select(
-        F.explode("_all").alias("period")
-    )
-    if grain != "day":
-        spine = spine.select(F.last_day("period").alias("period"))
-    filled = spine.join(measured, "period", "left").na.fill(
-        {"revenue": 0.0, "total_cost": 0.0, "missing_cost": 0}
+    # One row per period from here on: each fills the gap up to the next one.
+    following = F.lead("period").over(Window.orderBy("period"))
+    if grain == "day":
+        last = F.coalesce(F.date_sub(following, 1), F.col("period"))
+        covered = F.sequence(F.col("period"), last, F.expr("interval 1 day"))
+    else:
+        first = F.trunc("period", "month")
+        last = F.coalesce(F.add_months(F.trunc(following, "month"), -1), first)
+        covered = F.transform(F.sequence(first, last, F.expr("interval 1 month")), F.last_day)
+    own = F.col("period") == F.col("_measured")
+    filled = (
+        measured.withColumn("_covered", covered)
+        .withColumnRenamed("period", "_measured")
+        .withColumn("period", F.explode("_covered"))
+        .select(
+            "period",
+            F.when(own, F.col("revenue")).otherwise(0.0).alias("revenue"),
+            F.when(own, F.col("total_cost")).otherwise(0.0).alias("total_cost"),
+            F.when(own, F.col("missing_cost")).otherwise(0).alias("missing_cost"),
+        )
     )
     known = (F.col("revenue") > 0) & (F.col("missing_cost") == 0)
     return filled.withColumn(

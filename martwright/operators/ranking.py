@@ -16,7 +16,7 @@ def global_rank(df: DataFrame, order: list[Column], name: str) -> DataFrame:
 
     Rows are range-sorted across tasks and numbered inside their partition; the
     offset of a partition is the row count of those before it. The numbered
-    rows are checkpointed, so counts and numbers come from the same sort. The
+    rows are stored once, so counts and numbers come from the same sort. The
     order must be total (include the group key).
     """
     numbered = cut_lineage(df.orderBy(*order).withColumn("_slot", F.monotonically_increasing_id()))

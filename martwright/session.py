@@ -51,9 +51,14 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise in the shared directory, so lost executors do not change it."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialise as a table in the shared directory and read it back.
+
+    What was computed once is what later steps see, also after lost executors.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, "cut")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def estimated_bytes(df: DataFrame) -> int:

@@ -138,10 +138,12 @@ def replace_day(df: DataFrame, path: str, ts_col: str, day_col: str = "_day") ->
     """Replace only the days present in ``df``; other days stay.
 
     Dynamic partition overwrite swaps whole day partitions at commit, so the
-    re-run of a day is safe.
+    re-run of a day is safe. Rebalancing gathers the rows of a day into few files
+    and splits a day that is too large for one task.
     """
     (
         df.withColumn(day_col, F.to_date(ts_col))
+        .hint("rebalance", day_col)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(day_col)
@@ -150,13 +152,17 @@ def replace_day(df: DataFrame, path: str, ts_col: str, day_col: str = "_day") ->
 
 
 def write_audit(df: DataFrame, path: str, table: str) -> None:
-    """Append to an audit table: day partitions, rows clustered inside each file."""
+    """Append to an audit table: day partitions, rows clustered inside each file.
+
+    Rebalancing by day splits a day that outgrows one task; clustering is then a
+    sort within each part.
+    """
     schema, ts_col, cluster = schemas.AUDIT_TABLES[table]
     shaped = df.select(
         *[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields]
     ).withColumn("_day", F.to_date(ts_col))
     (
-        shaped.repartition("_day", *cluster)
+        shaped.hint("rebalance", "_day")
         .sortWithinPartitions("_day", *cluster)
         .write.mode("append")
         .partitionBy("_day")
