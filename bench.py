@@ -87,7 +87,8 @@ def store_layers(spark, folder: str, cores: int) -> Tables:
     source, stored = Tables(spark, folder), {}
     for name in LAYERS:
         path = scratch_path(spark, name)
-        getattr(source, name).repartition(cores).write.parquet(path)
+        frame = getattr(source, name)
+        frame.repartition(cores, frame.columns[0]).write.parquet(path)
         stored[name] = path
     path = scratch_path(spark, "merged")
     merged(Tables(spark, folder, stored)).write.parquet(path)

@@ -187,7 +187,8 @@ def kpi_trend_product(df: DataFrame, start, end) -> DataFrame:
             F.count_distinct("customer_key").alias("customers"),
         )
     )
-    return spine.join(measured, "bucket", "left").select(
+    # One measured row per bucket of the range.
+    return spine.join(F.broadcast(measured), "bucket", "left").select(
         "period_start",
         "period_end",
         "partial",
@@ -226,7 +227,8 @@ def kpi_trend_customer(df: DataFrame, start, end) -> DataFrame:
     spine, row_bucket = _buckets(df.sparkSession, start, end)
     inside = df.filter(_between(start, end)).withColumn("bucket", row_bucket)
     measured = _per_customer(inside, "bucket").groupBy("bucket").agg(*_customer_ratios())
-    return spine.join(measured, "bucket", "left").select(
+    # One measured row per bucket of the range.
+    return spine.join(F.broadcast(measured), "bucket", "left").select(
         "period_start",
         "period_end",
         "partial",

@@ -156,67 +156,87 @@ def _source_relation() -> Column:
     return _relation(F.col("schema"), F.col("identifier"), F.col("name"))
 
 
-def source_target(nodes: DataFrame, sources: DataFrame) -> DataFrame:
-    """Tables read by tests that name their source in the macro argument."""
+def _with_source_names(nodes: DataFrame) -> DataFrame:
+    """Source and table named in the macro argument of tests that are attached to nothing."""
     pattern = r"source\('([^']+)',\s*'([^']+)'\)"
-    named = (
-        nodes.filter(_filled(F.col("attached_node")).isNull())
-        .select(
-            "unique_id",
-            F.regexp_extract("test_model", pattern, 1).alias("source_name"),
-            F.regexp_extract("test_model", pattern, 2).alias("_table"),
-        )
-        .filter(F.col("source_name") != "")
+    free = _filled(F.col("attached_node")).isNull()
+    return nodes.withColumns(
+        {
+            "_source": F.when(free, _filled(F.regexp_extract("test_model", pattern, 1))),
+            "_table": F.when(free, _filled(F.regexp_extract("test_model", pattern, 2))),
+        }
     )
-    lookup = sources.groupBy("source_name", F.col("name").alias("_table")).agg(
-        F.min(_source_relation()).alias("target_table")
+
+
+def _source_lookup(sources: DataFrame) -> DataFrame:
+    return sources.groupBy(F.col("source_name").alias("_source"), F.col("name").alias("_table")).agg(
+        F.min(_source_relation()).alias("_named")
     )
-    return keyed_join(named, lookup, ["source_name", "_table"], "inner").select(
-        "unique_id", "target_table"
+
+
+def source_target(nodes: DataFrame, sources: DataFrame) -> DataFrame:
+    """Tables read by tests that name their source in the macro argument."""
+    named = _with_source_names(nodes).filter(F.col("_source").isNotNull())
+    found = keyed_join(
+        named.select("unique_id", "_source", "_table"),
+        _source_lookup(sources),
+        ["_source", "_table"],
+        "inner",
     )
+    return found.select("unique_id", F.col("_named").alias("target_table"))
 
 
-def execution_logs(
-    results: DataFrame, nodes: DataFrame, sources: DataFrame, ordered: bool = True
-) -> DataFrame:
-    """Result rows → execution logs, tables and columns resolved through the manifest."""
+def node_targets(nodes: DataFrame, sources: DataFrame) -> DataFrame:
+    """The table every node acted on, and its column."""
     relation = _relation(F.col("schema"), F.col("alias"), F.col("name"))
-    own = nodes.select(
-        "unique_id",
-        F.col("resource_type").alias("_kind"),
-        F.when(F.col("resource_type") == "model", relation).alias("_own"),
-        _filled(F.col("attached_node")).alias("_attached"),
-        F.col("column_name").alias("_column"),
-    )
-    # Node ids come before source ids, should one name both.
+    # A node without schema or name resolves to nothing, like one that is not listed.
     parents = (
-        nodes.select(F.col("unique_id").alias("_attached"), relation.alias("_r"), F.lit(0).alias("_p"))
+        nodes.select(F.col("unique_id").alias("_attached"), relation.alias("_parent"))
         .unionByName(
             sources.select(
-                F.col("unique_id").alias("_attached"),
-                _source_relation().alias("_r"),
-                F.lit(1).alias("_p"),
+                F.col("unique_id").alias("_attached"), _source_relation().alias("_parent")
             )
         )
-        .groupBy("_attached")
-        .agg(F.min_by("_r", "_p").alias("_parent"))
-    )
-    from_text = source_target(nodes, sources).withColumnRenamed("target_table", "_source")
-    joined = keyed_join(results, own, "unique_id")
-    joined = keyed_join(joined, parents, "_attached")
-    joined = keyed_join(joined, from_text, "unique_id", profile=results)
-    joined = joined.withColumns(_node_fields())
+        .filter(F.col("_parent").isNotNull())
+    )
+    own = _with_source_names(nodes).select(
+        "unique_id",
+        F.col("resource_type").alias("_kind"),
+        relation.alias("_own"),
+        _filled(F.col("attached_node")).alias("_attached"),
+        "column_name",
+        "_source",
+        "_table",
+    )
+    joined = keyed_join(own, parents, "_attached")
+    joined = keyed_join(joined, _source_lookup(sources), ["_source", "_table"], profile=own)
     target = (
         F.when(F.col("_kind") == "model", F.col("_own"))
         .when(F.col("_attached").isNotNull(), F.col("_parent"))
-        .otherwise(F.col("_source"))
+        .otherwise(F.col("_named"))
+    )
+    return joined.select("unique_id", target.alias("_target"), F.col("column_name").alias("_column"))
+
+
+def execution_logs(
+    results: DataFrame, nodes: DataFrame, sources: DataFrame, ordered: bool = True
+) -> DataFrame:
+    """Result rows → execution logs, tables and columns resolved through the manifest.
+
+    Targets are resolved once per node; the results, which grow with every run,
+    are joined a single time.
+    """
+    joined = keyed_join(results, node_targets(nodes, sources), "unique_id").withColumns(
+        _node_fields()
     )
     words = F.split("node_name", "_")
     guessed = F.when(
         (F.col("resource_type") == "test") & (F.size(words) >= 2), F.element_at(words, -1)
     )
     logs = joined.select(
-        *_log_columns(target, F.coalesce("_column", guessed), _utc(F.col("generated_at")))
+        *_log_columns(
+            F.col("_target"), F.coalesce("_column", guessed), _utc(F.col("generated_at"))
+        )
     )
     if ordered:
         logs = logs.orderBy(F.desc_nulls_last("run_timestamp"), F.desc("node_name"))
