@@ -26,8 +26,8 @@ def keyed_join(
     When the optimizer's size estimate of the lookup is inside the session's
     broadcast bound, the plain join is left to Spark, which broadcasts it.
     Otherwise both sides shuffle, and only keys with more than ``rows_per_salt``
-    rows are spread over several tasks: their left rows get a salt from the row
-    hash, their right rows are repeated once per salt. NULL keys match nothing,
+    rows are spread over several tasks: their left rows get a salt from a hash of
+    row and task, their right rows are repeated once per salt. NULL keys match nothing,
     so they are spread without repeating anything. Every row is kept; keys that
     miss the hot list are joined unsalted. ``profile`` is a cheaper frame with the
     same key values to count them on, such as the base table below earlier joins.
@@ -52,7 +52,10 @@ def keyed_join(
     )
     # At most HOT_KEYS rows by the limit above; keys beyond it stay exact, unsalted.
     hot = F.broadcast(hot)
-    row_hash = F.xxhash64(*left.columns)
+    # The task's number keeps whole-row copies apart; both parts are the same when a
+    # lost task is run again, so a retry sends every row where it went before.
+    hashed = [f.name for f in left.schema.fields if "map<" not in f.dataType.simpleString()]
+    row_hash = F.xxhash64(*hashed, F.spark_partition_id())
     missing = F.lit(False)
     for key in on:
         missing = missing | F.col(key).isNull()

@@ -294,7 +294,8 @@ def _(t):
     """
 SELECT 'run-1' AS execution_id, '2026-01-01 00:00:00' AS run_timestamp,
        'csv_ingestion' AS resource_type, 'part.csv' AS node_name, 'bronze.part' AS target_table,
-       cast(NULL AS varchar) AS column_name, 'pass' AS status, 1.23 AS execution_time_seconds,
+       cast(NULL AS varchar) AS column_name, 'pass' AS status,
+       cast(1.23 AS double) AS execution_time_seconds,
        count(*) AS rows_affected, cast(NULL AS varchar) AS error_message
 FROM part""",
 )

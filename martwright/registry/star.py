@@ -136,7 +136,7 @@ SELECT p.product_key, p.product_name, p.category, p.subcategory, p.cost,
        total_unique_customers,
        {r('total_sales / nullif(total_quantity, 0)')} AS avg_selling_price,
        {r('total_sales / nullif(total_orders, 0)')} AS avg_order_revenue,
-       {r('total_sales / lifespan_months')} AS avg_monthly_revenue
+       round(total_sales / lifespan_months, 2) AS avg_monthly_revenue
 FROM shaped s JOIN dim_products p ON s.product_key = p.product_key""",
     GOLD[:2],
 )

@@ -219,10 +219,17 @@ def append_ingestion_log(log: DataFrame, path: str, run_timestamp, resource_type
     write_audit(ingestion_log_rows(log, run_timestamp, resource_type), path, "table_ingestion_logs")
 
 
-def materialize(layers: dict[str, dict[str, DataFrame]], out: str, views: tuple = ("silver",)) -> dict:
+def materialize(
+    layers: dict[str, dict[str, DataFrame]],
+    out: str,
+    views: tuple = ("silver",),
+    sort: dict[str, list[str]] | None = None,
+) -> dict:
     """Layer → table → frame: view layers become temp views, the others tables.
 
-    Returns the frames to read from, in the same shape.
+    ``sort`` orders the rows of a table inside each file, so that range filters
+    on those columns can skip row groups; it costs no shuffle. Returns the frames
+    to read from, in the same shape.
     """
     result: dict[str, dict[str, DataFrame]] = {}
     for layer, frames in layers.items():
@@ -233,6 +240,8 @@ def materialize(layers: dict[str, dict[str, DataFrame]], out: str, views: tuple
                 result[layer][name] = frame
             else:
                 path = f"{out}/{checked_name(layer)}/{checked_name(name)}"
+                if sort and name in sort:
+                    frame = frame.sortWithinPartitions(*sort[name])
                 frame.write.mode("overwrite").parquet(path)
                 result[layer][name] = frame.sparkSession.read.parquet(path)
     return result

@@ -43,6 +43,42 @@ def test_salted_join_spreads_the_hot_key(frame):
     assert "_salt" in plan and "_salt" not in salted.columns
 
 
+def largest_task_share(joined):
+    counts = [
+        n for n, in rows(joined.groupBy(F.spark_partition_id().alias("p")).count(), "count")
+    ]
+    return max(counts) / sum(counts)
+
+
+def test_no_task_gets_the_whole_hot_key_even_of_copies(spark, frame):
+    copies = [("hot", 1, "same")] * 2000 + [(None, 1, "same")] * 1000
+    others = [(f"k{i % 80}", i, f"row{i}") for i in range(3000)]
+    left = frame(copies + others, "key string, v long, note string").repartition(16)
+    settings = {
+        "spark.sql.adaptive.enabled": "false",
+        "spark.sql.shuffle.partitions": "16",
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+    }
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        plain = left.join(lookup(frame), "key", "left")
+        salted = keyed_join(left, lookup(frame), "key", rows_per_salt=100)
+        assert largest_task_share(plain) > 0.33
+        assert largest_task_share(salted) < 0.2
+        assert salted.count() == plain.count() == 6000
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_map_columns_are_carried(frame):
+    left = frame([("a", {"x": 1}), (None, None)], "key string, m map<string,int>")
+    salted = keyed_join(left, lookup(frame), "key", small_bytes=-1)
+    assert sorted(r.m is None for r in salted.collect()) == [False, True]
+
+
 def test_profile_frame_only_steers_the_salting(frame):
     left, right = skewed(frame), lookup(frame)
     salted = keyed_join(
