@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from martwright import schemas
 from martwright.operators import gold, quality, silver, telemetry
+from martwright.operators.quality import Check
 from martwright.plans.suites import all_checks
-from martwright.session import cut_lineage
+from martwright.plans.telemetry_export import store_sections, stored_loads, telemetry_sections
 from martwright.sources import tables
-from martwright.sources.files import read_section
 
 # Dashboards filter the fact by order date.
 GOLD_ORDER = {"fct_sales": ["order_date"]}
@@ -55,6 +56,60 @@ def build_gold(staged: dict[str, DataFrame], out: str, tiers=(10000, 50000)) ->
     return stored
 
 
+def declared_nodes(
+    spark: SparkSession, models: dict[str, dict[str, DataFrame]], checks: list[Check]
+) -> DataFrame:
+    """Manifest nodes of the build itself: one per table and one per declared check."""
+    ids = {name: f"model.{layer}.{name}" for layer, frames in models.items() for name in frames}
+    rows = [
+        (
+            ids[name],
+            "model",
+            name,
+            layer,
+            {
+                f.name: {"name": f.name, "description": "", "data_type": f.dataType.simpleString()}
+                for f in frame.schema.fields
+            },
+            None,
+            None,
+        )
+        for layer, frames in models.items()
+        for name, frame in frames.items()
+    ]
+    rows += [
+        (check_id(c.table, c.name), "test", c.name, None, {}, ids.get(c.table), c.column)
+        for c in checks
+    ]
+    nodes = spark.createDataFrame(
+        rows,
+        "unique_id string, resource_type string, name string, schema string,"
+        "columns map<string, struct<name: string, description: string, data_type: string>>,"
+        "attached_node string, column_name string",
+    )
+    missing = ["alias", "database", "test_model"]
+    return nodes.select("*", *[F.lit(None).cast("string").alias(c) for c in missing])
+
+
+def check_id(table: str, name: str) -> str:
+    return f"test.{table}.{name}"
+
+
+def suite_results(logs: DataFrame) -> DataFrame:
+    """Execution-log rows of a suite as result rows."""
+    stamp = F.date_format("run_timestamp", "yyyy-MM-dd'T'HH:mm:ssXXX")
+    return logs.select(
+        F.col("execution_id").alias("invocation_id"),
+        stamp.alias("invocation_started_at"),
+        stamp.alias("generated_at"),
+        F.concat(F.lit("test."), "target_table", F.lit("."), "node_name").alias("unique_id"),
+        "status",
+        F.col("execution_time_seconds").alias("execution_time"),
+        F.col("rows_affected").alias("failures"),
+        F.col("error_message").alias("message"),
+    )
+
+
 def build_warehouse(spark: SparkSession, source: str, out: str, run_id: str, as_of) -> dict:
     """Load, clean, model, test and record one run.
 
@@ -69,28 +124,28 @@ def build_warehouse(spark: SparkSession, source: str, out: str, run_id: str, as_
     staged = silver_layer(bronze, as_of)
     tables.materialize({"silver": staged}, out)
     stored = build_gold(staged, out)
-    logs = quality.run_suite({**bronze, **staged, **stored}, all_checks(), run_id, as_of)
+    checks = all_checks()
+    logs = quality.run_suite({**bronze, **staged, **stored}, checks, run_id, as_of)
 
     loads = tables.ingestion_log_rows(load_log, as_of, telemetry.LOAD_RESOURCE)
-    loads = loads.withColumn("rows_inserted", loads["destination_rows"]).select(
-        *schemas.INGESTION_LOGS.names
+    loads = loads.withColumn("rows_inserted", F.col("destination_rows"))
+    models = {"silver": staged, "gold": stored}
+    no_sources = spark.createDataFrame(
+        [], "unique_id string, source_name string, name string, identifier string, schema string"
     )
-    known = read_section(spark, f"{out}/telemetry/ingestion_logs", schemas.INGESTION_LOGS)
-    # Stored elsewhere first: a section cannot be replaced while it is being read.
-    history = cut_lineage(telemetry.merge_history(known, loads))
-    sections = {
-        "execution_logs": logs,
-        "ingestion_logs": history,
-        "source_freshness": telemetry.freshness_age(telemetry.source_freshness(history), as_of),
-    }
-    tables.write_telemetry(sections, f"{out}/telemetry")
+    sections = telemetry_sections(
+        suite_results(logs),
+        declared_nodes(spark, models, checks),
+        no_sources,
+        stored_loads(spark, f"{out}/telemetry"),
+        loads,
+        as_of,
+    )
+    # The suite knows the table behind each of its checks, also in bronze.
+    sections["execution_logs"] = logs
     return {
         "load_log": load_log,
         "bronze": bronze,
-        "silver": staged,
-        "gold": stored,
-        "telemetry": {
-            name: read_section(spark, f"{out}/telemetry/{name}", schemas.TELEMETRY_SECTIONS[name])
-            for name in sections
-        },
+        **models,
+        "telemetry": store_sections(spark, sections, f"{out}/telemetry"),
     }

@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 
 from martwright import schemas
 from martwright.operators import gold
+from martwright.plans.telemetry_export import store_sections, stored_loads, telemetry_sections
 from martwright.registry import GOLD, Catalog, r, rounded
 from martwright.registry.silver import SILVER
 from martwright.registry.star import TIERS
+from martwright.registry.telemetry import HEALTH_SQL, NODES, nodes
 from martwright.session import scratch_path
 from martwright.sources import files, tables
 
@@ -258,6 +260,21 @@ def _(t):
     return t.spark.read.parquet(f"{out}/ingestion_logs").select(*schemas.INGESTION_LOGS.names)
 
 
+@QUERIES.add("s15_write_telemetry_sections", HEALTH_SQL, (*NODES, "test_results"))
+def _(t):
+    # All sections of a run are composed and stored; the summary is read back.
+    out = scratch_path(t.spark, "telemetry")
+    sections = telemetry_sections(
+        t.test_results,
+        nodes(t),
+        t.node_sources,
+        stored_loads(t.spark, out),
+        t.ingestion_logs,
+        "2024-02-05 07:31:10",
+    )
+    return store_sections(t.spark, sections, out)["summary"]
+
+
 @QUERIES.add(
     "s16_read_section",
     f"""

@@ -225,8 +225,7 @@ SELECT count(*) AS total_models, cast(sum(total_columns) AS bigint) AS total_col
        count(*) FILTER (column_coverage_pct < 50) AS models_poorly_covered"""
 
 
-@QUERIES.add(
-    "t08_health_summary",
+HEALTH_SQL = (
     COVERAGE_CTES
     + f""",
 c AS ({TOTALS_SQL} FROM mc),
@@ -238,9 +237,11 @@ x AS (SELECT max(coalesce(invocation_started_at, generated_at)) AS last_dbt_run,
                  AS warning_tests,
              {even('avg(coalesce(execution_time, 0))', 4)} AS avg_model_duration_sec
       FROM test_results)
-SELECT x.*, c.*, 'CRITICAL' AS overall_system_status FROM x, c""",
-    (*NODES, "test_results"),
+SELECT x.*, c.*, 'CRITICAL' AS overall_system_status FROM x, c"""
 )
+
+
+@QUERIES.add("t08_health_summary", HEALTH_SQL, (*NODES, "test_results"))
 def _(t):
     return telemetry.health_summary(t.test_results, telemetry.model_coverage(nodes(t)))
 

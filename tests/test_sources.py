@@ -167,6 +167,14 @@ def test_whole_build_twice(spark, tmp_path):
     assert logs["not_null_fct_sales_customer_key"].status == "fail"
     assert logs["relationships_stg_crm_sales_details_sls_prd_key"].rows_affected == 1
     assert first["telemetry"]["ingestion_logs"].count() == 6
+    summary = first["telemetry"]["summary"].first()
+    assert summary.total_models == 10 and summary.overall_system_status == "CRITICAL"
+    assert summary.passed_tests + summary.failed_tests + summary.warning_tests == 122
+    coverage = {r.model_name: r for r in first["telemetry"]["model_coverage"].collect()}
+    assert coverage["dim_customers"].columns_with_tests == 2
+    assert coverage["dim_customers"].total_tests == 3
+    tested = first["telemetry"]["column_coverage"].filter("has_tests").count()
+    assert tested == summary.total_columns_with_tests
 
     second = build_warehouse(spark, root, out, "run-2", "2026-01-02 00:00:00")
     assert second["gold"]["fct_sales"].count() == 3
