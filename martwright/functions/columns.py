@@ -25,6 +25,14 @@ def strict_date(column, pattern: str = "yyyyMMdd") -> Column:
     return F.to_date(as_column(column).cast("string"), pattern)
 
 
+def strict_int_date(column) -> Column:
+    """yyyymmdd integer → date by arithmetic; raises on an impossible date (ANSI sessions)."""
+    value = as_column(column)
+    days = F.call_function("div", value, F.lit(100))
+    year = F.call_function("div", value, F.lit(10000))
+    return F.make_date(year.cast("int"), (days % 100).cast("int"), (value % 100).cast("int"))
+
+
 def lenient_date(column, pattern: str) -> Column:
     return F.try_to_date(as_column(column).cast("string"), pattern)
 

@@ -9,6 +9,7 @@ from martwright.session import broadcast_limit, estimated_bytes
 
 ROWS_PER_SALT = 2_000_000
 HOT_KEYS = 4096
+SMALL_LEFT_BYTES = 32 << 20
 NULL_SALTS = 65_536
 
 
@@ -20,11 +21,13 @@ def keyed_join(
     rows_per_salt: int = ROWS_PER_SALT,
     small_bytes: int | None = None,
     profile: DataFrame | None = None,
+    small_left: int = SMALL_LEFT_BYTES,
 ) -> DataFrame:
     """Left or inner join of a large side to a lookup side on shared key columns.
 
     When the optimizer's size estimate of the lookup is inside the session's
-    broadcast bound, the plain join is left to Spark, which broadcasts it.
+    broadcast bound, the plain join is left to Spark, which broadcasts it. A left
+    side whose estimate fits a single task needs no spreading either.
     Otherwise both sides shuffle, and only keys with more than ``rows_per_salt``
     rows are spread over several tasks: their left rows get a salt from a hash of
     row and task, their right rows are repeated once per salt. NULL keys match nothing,
@@ -37,12 +40,12 @@ def keyed_join(
         raise ValueError("keyed_join supports left and inner joins")
     if small_bytes is None:
         small_bytes = broadcast_limit(left.sparkSession)
-    if estimated_bytes(right) <= small_bytes:
+    counted = left if profile is None else profile
+    if estimated_bytes(right) <= small_bytes or estimated_bytes(counted) <= small_left:
         return left.join(right, on, how)
 
     hot = (
-        (left if profile is None else profile)
-        .dropna(subset=on)
+        counted.dropna(subset=on)
         .groupBy(*on)
         .agg(F.count(F.lit(1)).alias("_rows"))
         .filter(F.col("_rows") > rows_per_salt)

@@ -14,7 +14,7 @@ from martwright.functions.columns import (
     lenient_date,
     safe_cast,
     safe_divide,
-    strict_date,
+    strict_int_date,
 )
 from martwright.operators.joins import keyed_join
 
@@ -120,7 +120,7 @@ def int_date(column, fallback: str | None = None) -> Column:
     """yyyymmdd integer → date; not positive or not eight digits → NULL, else strict."""
     value = as_column(column)
     invalid = (value <= 0) | (F.length(value.cast("string")) != 8)
-    parsed = F.when(~F.coalesce(invalid, F.lit(False)), strict_date(value))
+    parsed = F.when(~F.coalesce(invalid, F.lit(False)), strict_int_date(value))
     return parsed if fallback is None else F.coalesce(parsed, F.lit(fallback).cast("date"))
 
 

@@ -24,7 +24,7 @@ def telemetry_sections(
     history = telemetry.merge_history(known_loads, new_loads)
     found = {
         "summary": telemetry.health_summary(results, models),
-        "execution_logs": telemetry.execution_logs(results, nodes, sources),
+        "execution_logs": telemetry.execution_logs(results, nodes, sources, ordered=False),
         "model_coverage": models,
         "column_coverage": telemetry.column_coverage(nodes),
         "source_freshness": telemetry.freshness_age(telemetry.source_freshness(history), as_of),

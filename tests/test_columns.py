@@ -52,8 +52,12 @@ def test_lenient_and_strict_dates(spark):
     assert parse("20100109") == dt.date(2010, 1, 9)
     assert parse("nonsense") is None
     assert value(spark, c.strict_date(F.lit(20101231))) == dt.date(2010, 12, 31)
-    with pytest.raises(Exception):
-        value(spark, c.strict_date(F.lit(20101399)))
+    assert value(spark, c.strict_int_date(F.lit(20101231))) == dt.date(2010, 12, 31)
+    for strict in (c.strict_date, c.strict_int_date):
+        with pytest.raises(Exception):
+            value(spark, strict(F.lit(20101399)))
+        with pytest.raises(Exception):
+            value(spark, strict(F.lit(20100230)))
 
 
 def test_finite_money_title_and_names(spark):
