@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from martwright.llm import simhash
+from martwright.llm import exact_dedup, packing, simhash, token_counts
+
+TOKENIZER = "word_bpe_49k.json"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -17,6 +19,13 @@ def query(function: Callable[[SparkSession, str], DataFrame]):
     return function
 
 
+def tokenizer_path() -> str:
+    """Place of the public vocabulary file, the same on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(TOKENIZER)
+
+
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
@@ -24,3 +33,34 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op1_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, folder))
+
+
+@query
+def op7_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return exact_dedup.exact_groups(documents(spark, folder))
+
+
+SQL["op7_exact_dedup"] = """
+WITH hashed AS (
+  SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                  'abcdefghijklmnopqrstuvwxyz')) AS text_sha256
+  FROM documents
+)
+SELECT doc_id,
+       max(doc_id) OVER same AS keep_id,
+       count(*) OVER same AS group_size,
+       doc_id = max(doc_id) OVER same AS kept,
+       text_sha256
+FROM hashed
+WINDOW same AS (PARTITION BY text_sha256)
+"""
+
+
+@query
+def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts.token_counts(documents(spark, folder), tokenizer_path())
+
+
+@query
+def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(documents(spark, folder), tokenizer_path())
