@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from martwright.llm import exact_dedup, packing, simhash, token_counts
+from martwright.llm import exact_dedup, packing, simhash, suffix_dedup, token_counts
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -35,6 +35,11 @@ def op1_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, folder))
 
 
+@query
+def op2_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.repeat_report(documents(spark, folder))
+
+
 @query
 def op7_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, folder))
