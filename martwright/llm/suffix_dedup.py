@@ -286,12 +286,15 @@ def repeated_spans(
     blocks = arrow_map(
         _keyed(docs).select("kid", "th", "text"), partial(_block_rows, length, gram), _BLOCKS_DDL
     )
-    shared = (
+    # Stored, so that the join below has a shuffle of its own on both sides and a very common
+    # anchor's blocks can be split over several tasks.
+    shared = stored(
         blocks.select("h", "d", "times")
         .groupBy("h")
         .agg(F.sum("times").alias("_n"), F.min("d").alias("_low"), F.max("d").alias("_high"))
         .filter("_n > 1")
-        .select("h", (F.col("_low") == F.col("_high")).alias("alike"))
+        .select("h", (F.col("_low") == F.col("_high")).alias("alike")),
+        "shared",
     )
     candidates = stored(blocks.join(shared, "h"), "candidates")
     mixed = candidates.filter("not alike")
