@@ -5,8 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-
-from martwright.llm import exact_dedup, packing, simhash, suffix_dedup, token_counts
+from pyspark.sql import functions as F
+
+from martwright.llm import (
+    bpe,
+    exact_dedup,
+    packing,
+    sharding,
+    simhash,
+    suffix_dedup,
+    token_counts,
+    warc,
+)
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -40,6 +50,21 @@ def op2_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_dedup.repeat_report(documents(spark, folder))
 
 
+@query
+def op3_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    return sharding.place(documents(spark, folder))
+
+
+@query
+def op4_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe.round_trip(documents(spark, folder), tokenizer_path()).select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
 @query
 def op7_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, folder))
@@ -66,6 +91,32 @@ def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, folder), tokenizer_path())
 
 
+@query
+def op9_warc(spark: SparkSession, folder: str) -> DataFrame:
+    history = warc.archive_pages(spark.read.parquet(f"{folder}/pages.parquet"))
+    return history.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+SQL["op9_warc"] = """
+WITH payload AS (
+  SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS hex FROM pages
+),
+marked AS (
+  SELECT page_id, strlen(body) AS payload_bytes, hex, min(page_id) OVER (PARTITION BY body) AS first_id
+  FROM payload
+)
+SELECT page_id,
+       payload_bytes,
+       list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         1 + CAST((CAST('0x' || substr(hex, CAST(1 + (5 * i) // 4 AS INTEGER), 2) AS INTEGER)
+                   >> CAST(3 - (5 * i) % 4 AS INTEGER)) & 31 AS INTEGER), 1)),
+         'string_agg', '') AS payload_digest,
+       CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM marked
+"""
+
+
 @query
 def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(documents(spark, folder), tokenizer_path())
