@@ -11,6 +11,8 @@ from martwright.llm import (
     bpe,
     exact_dedup,
     packing,
+    quality_model,
+    quality_rules,
     sharding,
     simhash,
     suffix_dedup,
@@ -65,6 +67,21 @@ def op4_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def labels(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/labels.parquet")
+
+
+@query
+def op5_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_model.classify(documents(spark, folder), labels(spark, folder))
+
+
+@query
+def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    trusted = labels(spark, folder).filter("quality = 1")
+    return quality_rules.verdicts(documents(spark, folder), trusted)
+
+
 @query
 def op7_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, folder))
