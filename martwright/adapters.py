@@ -153,7 +153,8 @@ SELECT concat('model.shop.m', cast(p_partkey AS string)) AS unique_id,
        CASE WHEN p_partkey % 11 <> 0 THEN concat('m', cast(p_partkey AS string), '_v') END AS alias,
        CASE p_size % 2 WHEN 0 THEN 'gold' ELSE 'silver' END AS schema,
        'shop' AS database,
-       p_size % 9 AS declared_columns
+       CASE WHEN p_size % 9 = 0 THEN 0 WHEN p_partkey % 13 = 0 THEN 5
+            ELSE 5 + 2 * (p_size % 9) END AS declared_columns
 FROM {part}""",
     "node_tests": """
 SELECT concat('test.shop.t', cast(l_orderkey AS string), '_', cast(l_linenumber AS string), '_',

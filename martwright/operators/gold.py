@@ -13,7 +13,6 @@ from martwright.functions.columns import (
     surrogate_key,
     years_between_boundaries,
 )
-from martwright.operators.joins import keyed_join
 
 # Fixed value: mean days per month.
 DAYS_PER_MONTH = 30.4375
@@ -26,8 +25,8 @@ def dim_customers(customers: DataFrame, demographics: DataFrame, locations: Data
     )
     loc = locations.select(F.col("cid").alias("customer_number"), F.col("cntry").alias("country"))
     crm = customers.withColumn("customer_number", F.col("cst_key"))
-    joined = keyed_join(crm, demo, "customer_number")
-    joined = keyed_join(joined, loc, "customer_number", profile=crm)
+    joined = crm.join(demo, "customer_number", "left")
+    joined = joined.join(loc, "customer_number", "left")
     return joined.select(
         surrogate_key("cst_id").alias("customer_key"),
         F.col("cst_id").alias("customer_id"),
@@ -51,7 +50,7 @@ def dim_products(products: DataFrame, categories: DataFrame) -> DataFrame:
         "maintenance",
     )
     current = products.filter(F.col("prd_end_dt").isNull())
-    return keyed_join(current, lookup, "cat_id").select(
+    return current.join(lookup, "cat_id", "left").select(
         surrogate_key("prd_id").alias("product_key"),
         F.col("prd_id").alias("product_id"),
         F.col("prd_key").alias("product_number"),
@@ -70,8 +69,8 @@ def fct_sales(sales: DataFrame, customers: DataFrame, products: DataFrame) -> Da
     """Sales lines with both surrogate keys; unmatched keys stay NULL."""
     cust = customers.select("customer_key", F.col("customer_id").alias("sls_cust_id"))
     prod = products.select("product_key", F.col("product_number").alias("sls_prd_key"))
-    joined = keyed_join(sales, cust, "sls_cust_id")
-    joined = keyed_join(joined, prod, "sls_prd_key", profile=sales)
+    joined = sales.join(cust, "sls_cust_id", "left")
+    joined = joined.join(prod, "sls_prd_key", "left")
     return joined.select(
         surrogate_key("sls_ord_num", "sls_prd_key").alias("sales_item_key"),
         "customer_key",

@@ -1,80 +1,10 @@
-"""Equi joins that hold up when one key owns a large share of the rows."""
+"""Referential checks between a child and a parent table."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from martwright.session import broadcast_limit, estimated_bytes
-
-ROWS_PER_SALT = 2_000_000
-HOT_KEYS = 4096
-SMALL_LEFT_BYTES = 32 << 20
-NULL_SALTS = 65_536
-
-
-def keyed_join(
-    left: DataFrame,
-    right: DataFrame,
-    on: str | list[str],
-    how: str = "left",
-    rows_per_salt: int = ROWS_PER_SALT,
-    small_bytes: int | None = None,
-    profile: DataFrame | None = None,
-    small_left: int = SMALL_LEFT_BYTES,
-) -> DataFrame:
-    """Left or inner join of a large side to a lookup side on shared key columns.
-
-    When the optimizer's size estimate of the lookup is inside the session's
-    broadcast bound, the plain join is left to Spark, which broadcasts it. A left
-    side whose estimate fits a single task needs no spreading either.
-    Otherwise both sides shuffle, and only keys with more than ``rows_per_salt``
-    rows are spread over several tasks: their left rows get a salt from a hash of
-    row and task, their right rows are repeated once per salt. NULL keys match nothing,
-    so they are spread without repeating anything. Every row is kept; keys that
-    miss the hot list are joined unsalted. ``profile`` is a cheaper frame with the
-    same key values to count them on, such as the base table below earlier joins.
-    """
-    on = [on] if isinstance(on, str) else list(on)
-    if how not in ("left", "inner"):
-        raise ValueError("keyed_join supports left and inner joins")
-    if small_bytes is None:
-        small_bytes = broadcast_limit(left.sparkSession)
-    counted = left if profile is None else profile
-    if estimated_bytes(right) <= small_bytes or estimated_bytes(counted) <= small_left:
-        return left.join(right, on, how)
-
-    hot = (
-        counted.dropna(subset=on)
-        .groupBy(*on)
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .filter(F.col("_rows") > rows_per_salt)
-        .orderBy(F.desc("_rows"), *on)
-        .limit(HOT_KEYS)
-        .select(*on, F.ceil(F.col("_rows") / rows_per_salt).cast("int").alias("_salts"))
-    )
-    # At most HOT_KEYS rows by the limit above; keys beyond it stay exact, unsalted.
-    hot = F.broadcast(hot)
-    # The task's number keeps whole-row copies apart; both parts are the same when a
-    # lost task is run again, so a retry sends every row where it went before.
-    hashed = [f.name for f in left.schema.fields if "map<" not in f.dataType.simpleString()]
-    row_hash = F.xxhash64(*hashed, F.spark_partition_id())
-    missing = F.lit(False)
-    for key in on:
-        missing = missing | F.col(key).isNull()
-    spread = left.join(hot, on, "left").withColumn(
-        "_salt",
-        F.when(missing, F.pmod(row_hash, F.lit(NULL_SALTS)))
-        .when(F.col("_salts").isNotNull(), F.pmod(row_hash, F.col("_salts")))
-        .otherwise(F.lit(0))
-        .cast("int"),
-    )
-    repeated = right.join(hot, on, "left").withColumn(
-        "_salt",
-        F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1)),
-    )
-    return spread.drop("_salts").join(repeated.drop("_salts"), [*on, "_salt"], how).drop("_salt")
-
 
 def orphans(child: DataFrame, key: str, parent: DataFrame, parent_key: str) -> DataFrame:
     """Distinct non-NULL child keys without a parent, with their row counts.

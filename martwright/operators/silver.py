@@ -16,7 +16,6 @@ from martwright.functions.columns import (
     safe_divide,
     strict_int_date,
 )
-from martwright.operators.joins import keyed_join
 
 # Source codes and their labels.
 MARITAL_STATUS = {"S": "Single", "M": "Married"}
@@ -107,7 +106,7 @@ def version_end_date(
             "_open": F.col(start_col).isNull(),
         }
     )
-    joined = keyed_join(tagged, starts, ["_key", "_start", "_open"], "left")
+    joined = tagged.join(starts, ["_key", "_start", "_open"], "left")
     next_start = F.when(F.col(tiebreak) == F.col("_last"), F.col("_next")).otherwise(
         F.col(start_col)
     )

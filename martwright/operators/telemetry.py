@@ -8,7 +8,6 @@ from pyspark.sql import types as T
 
 from martwright.functions.columns import as_stamp, safe_divide
 from martwright.functions.redaction import mask_map, redact_text
-from martwright.operators.joins import keyed_join
 from martwright.operators.ranking import top_k
 from martwright.schemas import INGESTION_LOGS, table
 
@@ -177,11 +176,8 @@ def _source_lookup(sources: DataFrame) -> DataFrame:
 def source_target(nodes: DataFrame, sources: DataFrame) -> DataFrame:
     """Tables read by tests that name their source in the macro argument."""
     named = _with_source_names(nodes).filter(F.col("_source").isNotNull())
-    found = keyed_join(
-        named.select("unique_id", "_source", "_table"),
-        _source_lookup(sources),
-        ["_source", "_table"],
-        "inner",
+    found = named.select("unique_id", "_source", "_table").join(
+        _source_lookup(sources), ["_source", "_table"]
     )
     return found.select("unique_id", F.col("_named").alias("target_table"))
 
@@ -208,8 +204,8 @@ def node_targets(nodes: DataFrame, sources: DataFrame) -> DataFrame:
         "_source",
         "_table",
     )
-    joined = keyed_join(own, parents, "_attached")
-    joined = keyed_join(joined, _source_lookup(sources), ["_source", "_table"], profile=own)
+    joined = own.join(parents, "_attached", "left")
+    joined = joined.join(_source_lookup(sources), ["_source", "_table"], "left")
     target = (
         F.when(F.col("_kind") == "model", F.col("_own"))
         .when(F.col("_attached").isNotNull(), F.col("_parent"))
@@ -226,7 +222,7 @@ def execution_logs(
     Targets are resolved once per node; the results, which grow with every run,
     are joined a single time.
     """
-    joined = keyed_join(results, node_targets(nodes, sources), "unique_id").withColumns(
+    joined = results.join(node_targets(nodes, sources), "unique_id", "left").withColumns(
         _node_fields()
     )
     words = F.split("node_name", "_")
@@ -373,17 +369,19 @@ def coverage_grade(models: DataFrame) -> DataFrame:
 # --- health --------------------------------------------------------------------
 
 
-def _coverage_totals() -> list[Column]:
+def _coverage_totals(newest: bool = False) -> list[Column]:
+    """Totals over models. The stored newest day counts exactly 100 % as full and rounds half up."""
     pct = F.col("column_coverage_pct")
+    overall = _pct(F.sum("columns_with_tests"), F.sum("total_columns"))
+    if newest:
+        overall = F.round(safe_divide(F.sum("columns_with_tests"), F.sum("total_columns")) * 100, 2)
     return [
         F.count(F.lit(1)).alias("total_models"),
         F.coalesce(F.sum("total_columns"), F.lit(0)).alias("total_columns"),
         F.coalesce(F.sum("columns_with_tests"), F.lit(0)).alias("total_columns_with_tests"),
-        _pct(F.sum("columns_with_tests"), F.sum("total_columns")).alias(
-            "overall_column_coverage_pct"
-        ),
+        overall.alias("overall_column_coverage_pct"),
         F.coalesce(F.sum("total_tests"), F.lit(0)).alias("total_tests"),
-        F.count_if(pct >= 100).alias("models_fully_covered"),
+        F.count_if(pct == 100 if newest else pct >= 100).alias("models_fully_covered"),
         F.count_if(pct >= 80).alias("models_well_covered"),
         F.count_if(pct < 50).alias("models_poorly_covered"),
     ]
@@ -445,7 +443,7 @@ def latest_health(logs: DataFrame, coverage: DataFrame) -> DataFrame:
             F.max("model_total_tests").alias("total_tests"),
         )
     )
-    covered = run.withColumn("_c", _one_struct(per_model.agg(*_coverage_totals())))
+    covered = run.withColumn("_c", _one_struct(per_model.agg(*_coverage_totals(newest=True))))
     status = (
         F.when(F.col("failed_tests") > 0, "CRITICAL")
         .when(F.col("warning_tests") > 0, "WARNING")
@@ -518,18 +516,22 @@ def ingestion_rows(manifest: DataFrame, resource_type: str = LOAD_RESOURCE) -> D
     )
 
 
-def merge_history(old: DataFrame, new: DataFrame, keep: int = KEEP_HISTORY) -> DataFrame:
-    """Old and new loads, the old row winning per (time, target); newest ``keep`` rows."""
+def merge_history(old: DataFrame, new: DataFrame) -> DataFrame:
+    """All old and new loads, the old row winning per (time, target)."""
     names = INGESTION_LOGS.names
     both = old.select(*names, F.lit(0).alias("_source")).unionByName(
         new.select(*names, F.lit(1).alias("_source"))
     )
-    kept = (
+    return (
         both.groupBy("run_timestamp", "target_table")
         .agg(F.min_by(F.struct(*names), F.struct("_source", "log_id")).alias("_row"))
         .select("_row.*")
     )
-    return top_k(kept, [F.desc_nulls_last("run_timestamp"), F.col("target_table")], keep)
+
+
+def recent_history(history: DataFrame, keep: int = KEEP_HISTORY) -> DataFrame:
+    """Newest ``keep`` loads, as a reader of the history sees them; the store keeps all."""
+    return top_k(history, [F.desc_nulls_last("run_timestamp"), F.col("target_table")], keep)
 
 
 def source_freshness(ingestion: DataFrame) -> DataFrame:

@@ -6,6 +6,9 @@ runs the load, and returns what was read back or the load's own log.
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.errors import SparkRuntimeException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -57,11 +60,13 @@ def stored_gold(t) -> str:
     "s01_scan_csv_text",
     """
 SELECT cast(prd_id AS varchar) AS prd_id, prd_key, prd_nm, cast(prd_cost AS varchar) AS prd_cost,
-       prd_line, prd_start_dt, prd_end_dt FROM crm_prd_info""",
+       prd_line, prd_start_dt, prd_end_dt, concat(prd_key, chr(10), 'note') AS note
+FROM crm_prd_info""",
     SILVER[1:2],
 )
 def _(t):
-    path = write_csv(t.crm_prd_info, scratch_path(t.spark, "csv"))
+    noted = t.crm_prd_info.withColumn("note", F.concat("prd_key", F.lit("\nnote")))
+    path = write_csv(noted, scratch_path(t.spark, "csv"))
     return files.scan_csv_text(t.spark, path)
 
 
@@ -82,23 +87,31 @@ COUNTS = "\nUNION ALL ".join(
     f"SELECT '{name}' AS table_name, 'bronze.{name}' AS target_table,"
     f" '{schemas.BRONZE[name][0]}' AS source_file, (SELECT count(*) FROM {name}) AS source_rows,"
     f" (SELECT count(*) FROM {name}) AS destination_rows, 'success' AS status"
-    for name in SILVER[:-1]
+    for name in SILVER
 )
 
 
 @QUERIES.add(
     "s03_load_bronze",
-    COUNTS
-    + """
-UNION ALL SELECT 'erp_px_cat_g1v2', 'bronze.erp_px_cat_g1v2', 'source_erp/PX_CAT_G1V2.csv',
-                 0, 0, 'error'""",
+    f"""
+SELECT table_name,
+       CASE WHEN table_name IN ('{SILVER[4]}', '{SILVER[5]}') THEN 'error' ELSE status END AS status,
+       CASE WHEN table_name IN ('{SILVER[4]}', '{SILVER[5]}') THEN 0 ELSE source_rows END AS source_rows,
+       CASE WHEN table_name = '{SILVER[5]}' THEN 0 ELSE destination_rows END AS stored
+FROM ({COUNTS})""",
     SILVER,
 )
 def _(t):
-    # One source file is missing on purpose; the others must still load.
+    # Second load over held tables: one file got a wrong shape, one is missing from the start.
+    spark, out = t.spark, scratch_path(t.spark, "bronze")
     root = landing(t, SILVER[:-1])
-    log = tables.load_bronze(t.spark, root, scratch_path(t.spark, "bronze"))
-    return log.drop("duration_seconds", "error_message")
+    tables.load_bronze(spark, root, out)
+    wrong = f"{root}/{schemas.BRONZE[SILVER[4]][0]}"
+    getattr(t, SILVER[4]).withColumn("more", F.lit("x")).write.mode("overwrite").csv(wrong, header=True)
+    log = tables.load_bronze(spark, root, out)
+    held = [(name, tables.stored_rows(spark, f"{out}/{name}")) for name in SILVER]
+    stored = spark.createDataFrame(held, "table_name string, stored long")
+    return log.select("table_name", "status", "source_rows").join(stored, "table_name")
 
 
 @QUERIES.add(
@@ -109,7 +122,7 @@ def _(t):
 )
 def _(t):
     log = tables.load_bronze(t.spark, landing(t), scratch_path(t.spark, "bronze"))
-    return log.filter("table_name <> 'erp_px_cat_g1v2'").select(
+    return log.select(
         "table_name",
         "source_rows",
         "destination_rows",
@@ -119,14 +132,13 @@ def _(t):
 
 @QUERIES.add(
     "s05_discover_csvs",
-    """
-SELECT 'erp_loc_a101' AS table_name, count(*) AS row_count FROM erp_loc_a101
-UNION ALL SELECT 'crm_prd_info', count(*) FROM crm_prd_info
+    f"""
+SELECT table_name, source_rows AS row_count FROM ({COUNTS})
 UNION ALL SELECT 'extra_part', count(*) FROM part""",
-    (SILVER[1], SILVER[4]),
+    SILVER,
 )
 def _(t):
-    root = landing(t, (SILVER[1], SILVER[4]))
+    root = landing(t)
     padded = t.part.toDF(*[f" {c.upper()} " for c in t.part.columns])
     write_csv(padded, f"{root}/extra/Part.csv")
     found = [
@@ -150,6 +162,19 @@ def _(t):
     return t.spark.read.parquet(path)
 
 
+@QUERIES.add("s06_refresh_table_failed", "SELECT s_suppkey, s_name, s_acctbal FROM supplier")
+def _(t):
+    path = scratch_path(t.spark, "refresh")
+    frame = t.supplier.select("s_suppkey", "s_name", "s_acctbal")
+    tables.refresh_table(frame, path)
+    broken = frame.withColumn("s_acctbal", F.expr("CASE WHEN s_suppkey % 2 = 0 THEN raise_error('bad') END"))
+    try:
+        tables.refresh_table(broken, path)
+    except SparkRuntimeException:
+        return t.spark.read.parquet(path)
+    raise AssertionError("the second refresh must fail")
+
+
 @QUERIES.add(
     "s07_append_rows",
     """
@@ -176,16 +201,16 @@ def _(t):
     """
 SELECT 'fct_sales' AS table_name, count(*) AS rows_copied, 'success' AS status FROM fct_sales
 UNION ALL SELECT 'dim_products', count(*), 'success' FROM dim_products
+UNION ALL SELECT 'dim_customers', count(*), 'success' FROM dim_customers
+UNION ALL SELECT 'product_360', count(DISTINCT f.product_key), 'success'
+          FROM fct_sales f JOIN dim_products p ON f.product_key = p.product_key
 UNION ALL SELECT 'no_such_table', 0, 'error'
 UNION ALL SELECT 'bad name; --', 0, 'error'""",
-    GOLD[:2],
+    GOLD,
 )
 def _(t):
-    source = scratch_path(t.spark, "source")
-    for name in GOLD[:2]:
-        getattr(t, name).write.parquet(f"{source}/{name}")
-    listed = ["fct_sales", "no_such_table", "bad name; --", "dim_products"]
-    log = tables.replicate_tables(t.spark, source, scratch_path(t.spark, "copy"), listed)
+    listed = ["fct_sales", "no_such_table", "bad name; --", "dim_products", "dim_customers", "product_360"]
+    log = tables.replicate_tables(t.spark, stored_gold(t), scratch_path(t.spark, "copy"), listed)
     return log.drop("error_message")
 
 
@@ -336,18 +361,18 @@ def _(t):
 
 @QUERIES.add(
     "g07_materialize",
-    """
-SELECT 'silver' AS layer, 'stg_location' AS table_name, count(*) AS row_count FROM erp_loc_a101
+    f"""
+SELECT 'silver' AS layer, table_name, source_rows AS row_count FROM ({COUNTS})
 UNION ALL SELECT 'gold', 'fct_sales', count(*) FROM fct_sales
-UNION ALL SELECT 'gold', 'dim_products', count(*) FROM dim_products""",
-    (*GOLD[:2], SILVER[4]),
+UNION ALL SELECT 'gold', 'dim_products', count(*) FROM dim_products
+UNION ALL SELECT 'gold', 'dim_customers', count(*) FROM dim_customers
+UNION ALL SELECT 'gold', 'product_360', count(DISTINCT f.product_key)
+          FROM fct_sales f JOIN dim_products p ON f.product_key = p.product_key""",
+    (*GOLD, *SILVER),
 )
 def _(t):
     built = tables.materialize(
-        {
-            "silver": {"stg_location": t.erp_loc_a101},
-            "gold": {"fct_sales": t.fct_sales, "dim_products": t.dim_products},
-        },
+        {"silver": {name: getattr(t, name) for name in SILVER}, "gold": gold_tables(t)},
         scratch_path(t.spark, "layers"),
     )
     counts = [
@@ -357,29 +382,26 @@ def _(t):
         for layer, frames in built.items()
         for name, frame in frames.items()
     ]
-    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+    return reduce(DataFrame.unionByName, counts)
 
 
 @QUERIES.add(
     "n09_append_csvs",
-    """
-SELECT 'crm_prd_info' AS table_name, count(*) AS rows_copied, 2 * count(*) AS stored
-FROM crm_prd_info
-UNION ALL SELECT 'erp_loc_a101', count(*), 2 * count(*) FROM erp_loc_a101""",
-    (SILVER[1], SILVER[4]),
+    f"SELECT table_name, source_rows AS rows_copied, 2 * source_rows AS stored FROM ({COUNTS})",
+    SILVER,
 )
 def _(t):
-    root, out = landing(t, (SILVER[1], SILVER[4])), scratch_path(t.spark, "bronze")
+    root, out = landing(t), scratch_path(t.spark, "bronze")
     tables.append_csvs(t.spark, root, out)
     log = tables.append_csvs(t.spark, root, out)
     stored = [
         t.spark.read.parquet(f"{out}/{name}")
         .agg(F.count(F.lit(1)).alias("stored"))
         .withColumn("table_name", F.lit(name))
-        for name in (SILVER[1], SILVER[4])
+        for name in SILVER
     ]
     return log.select("table_name", "rows_copied").join(
-        stored[0].unionByName(stored[1]), "table_name"
+        reduce(DataFrame.unionByName, stored), "table_name"
     )
 
 

@@ -20,8 +20,12 @@ class ArtifactMalformed(ValueError):
     """The artifact is not a JSON object."""
 
 
-def scan_csv_text(spark: SparkSession, path: str) -> DataFrame:
-    """CSV with a header, every column text; empty fields NULL, blanks kept."""
+def scan_csv_text(spark: SparkSession, path: str, quoted_breaks: bool = True) -> DataFrame:
+    """CSV with a header, every column text; empty fields NULL, blanks kept.
+
+    A quoted field may hold line breaks. Files known to hold none are split over several
+    tasks with ``quoted_breaks=False``.
+    """
     return spark.read.csv(
         path,
         header=True,
@@ -30,7 +34,7 @@ def scan_csv_text(spark: SparkSession, path: str) -> DataFrame:
         emptyValue="",
         quote='"',
         escape='"',
-        multiLine=False,
+        multiLine=quoted_breaks,
         ignoreLeadingWhiteSpace=False,
         ignoreTrailingWhiteSpace=False,
     )
@@ -67,6 +71,29 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
 
 
+def remove_path(spark: SparkSession, path: str) -> None:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def replace_path(spark: SparkSession, new: str, path: str) -> None:
+    """Switch a directory for a complete one beside it; the old one goes last."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    system = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    old = hadoop(f"{new}__old")
+    had_old = system.exists(hadoop(path))
+    if had_old and not system.rename(hadoop(path), old):
+        raise OSError(f"cannot set aside {path}")
+    if not system.exists(hadoop(path).getParent()):
+        system.mkdirs(hadoop(path).getParent())
+    if not system.rename(hadoop(new), hadoop(path)):
+        if had_old:
+            system.rename(old, hadoop(path))
+        raise OSError(f"cannot put {new} in place of {path}")
+    if had_old:
+        system.delete(old, True)
+
+
 def discover_csvs(spark: SparkSession, root: str) -> list[tuple[str, str]]:
     """(CSV path, target table) pairs below the landing folders of ``root``."""
     found = []

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from martwright.functions.columns import safe_cast, to_money
-from martwright.operators.joins import keyed_join
 from martwright.schemas import MERGED_COLUMNS
 
 
@@ -30,8 +29,8 @@ def merged_sales(
     recent = fact.filter(day >= F.lit(min_date).cast("date")).withColumn("order_date", day)
     prod = products.select("product_key", "product_name", "category", "cost")
     cust = customers.select("customer_key", "first_name", "last_name", "country")
-    joined = keyed_join(recent, prod, "product_key")
-    joined = keyed_join(joined, cust, "customer_key", profile=recent)
+    joined = recent.join(prod, "product_key", "left")
+    joined = joined.join(cust, "customer_key", "left")
     if ordered or limit is not None:
         joined = joined.orderBy(
             "sales_item_key", "order_date", "quantity", "gross_sales_amount", "unit_price"

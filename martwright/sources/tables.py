@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import re
 import time
+import uuid
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from martwright import schemas
 from martwright.functions.columns import as_stamp
@@ -15,6 +17,8 @@ from martwright.sources.files import (
     load_bronze_table,
     normalize_columns,
     path_exists,
+    remove_path,
+    replace_path,
     scan_csv_text,
 )
 
@@ -40,8 +44,18 @@ def stored_rows(spark: SparkSession, path: str) -> int:
 
 
 def refresh_table(df: DataFrame, path: str) -> int:
-    """Replace the target, so that a re-run does not duplicate rows."""
-    df.write.mode("overwrite").parquet(path)
+    """Replace the target, so that a re-run does not duplicate rows.
+
+    Rows are written beside the target, which is switched only when they are complete: a
+    failed refresh leaves the old rows, and the new ones may be computed from the old.
+    """
+    staged = f"{path.rstrip('/')}__new_{uuid.uuid4().hex}"
+    try:
+        df.write.parquet(staged)
+    except Exception:
+        remove_path(df.sparkSession, staged)
+        raise
+    replace_path(df.sparkSession, staged, path)
     return stored_rows(df.sparkSession, path)
 
 
@@ -49,55 +63,42 @@ def append_rows(df: DataFrame, path: str) -> int:
     """Append; empty input writes nothing and returns 0.
 
     The commit protocol makes the files of a failed job invisible, so an append
-    is all or nothing. Inserted rows are the difference of two footer counts,
-    which task retries cannot inflate.
+    is all or nothing. The rows are observed as they are written.
     """
     if df.isEmpty():
         return 0
-    before = stored_rows(df.sparkSession, path)
-    df.write.mode("append").parquet(path)
-    return stored_rows(df.sparkSession, path) - before
+    written = Observation()
+    df.observe(written, F.count(F.lit(1)).alias("rows")).write.mode("append").parquet(path)
+    return written.get["rows"]
 
 
-def load_bronze(spark: SparkSession, source: str, target: str, tables: dict | None = None) -> DataFrame:
-    """Load every source file; a failing table is recorded and the others go on.
+def load_table(spark: SparkSession, path: str, schema: T.StructType, out: str) -> tuple[int, int]:
+    """Load one file over a table: rows of its text scan, and rows the table then holds.
 
-    Source rows are counted on the text scan and destination rows on what the
-    typed table then holds, so the two are measured apart.
+    A value that does not fit its type fails the load and leaves the table as it was.
     """
-    log = []
+    if not path_exists(spark, path):
+        raise FileNotFoundError(f"no source file at {path}")
+    # Scan and write form one narrow stage, so each row is observed once.
+    scanned = Observation()
+    text = scan_csv_text(spark, path).observe(scanned, F.count(F.lit(1)).alias("rows"))
+    held = refresh_table(load_bronze_table(text, schema), out)
+    return scanned.get["rows"], held
+
+
+def load_bronze(spark: SparkSession, source: str, target: str, tables: dict | None = None) -> DataFrame:
+    """Load every source file; a failing table is recorded and the others go on."""
+    outcomes = []
     for name, (file, schema) in (tables or schemas.BRONZE).items():
-        checked_name(name)
-        path, out = f"{source}/{file}", f"{target}/{name}"
-        entry = {
-            "table_name": name,
-            "target_table": f"bronze.{name}",
-            "source_file": file,
-            "source_rows": 0,
-            "destination_rows": 0,
-            "duration_seconds": 0.0,
-            "status": "error",
-            "error_message": None,
-        }
-        log.append(entry)
-        if not path_exists(spark, path):
-            entry["error_message"] = f"Missing source file: {path}"
-            continue
-        started = time.perf_counter()
+        began, rows, problem = time.perf_counter(), (0, 0), None
         try:
-            text = scan_csv_text(spark, path)
-            # Scan and write form one narrow stage, so each row is observed once.
-            seen = Observation()
-            counted = text.observe(seen, F.count(F.lit(1)).alias("rows"))
-            load_bronze_table(counted, schema).write.mode("overwrite").parquet(out)
-            entry["source_rows"] = seen.get["rows"]
-            entry["destination_rows"] = stored_rows(spark, out)
-            entry["status"] = "success"
+            rows = load_table(spark, f"{source}/{file}", schema, f"{target}/{checked_name(name)}")
         except Exception as error:  # noqa: BLE001 - one table must not stop the batch
-            entry["error_message"] = str(error).splitlines()[0]
-        finally:
-            entry["duration_seconds"] = round(time.perf_counter() - started, 4)
-    return spark.createDataFrame([tuple(e[n] for n in LOAD_LOG.names) for e in log], LOAD_LOG)
+            problem = str(error).splitlines()[0]
+        seconds = round(time.perf_counter() - began, 4)
+        status = "success" if problem is None else "error"
+        outcomes.append((name, f"bronze.{name}", file, *rows, seconds, status, problem))
+    return spark.createDataFrame(outcomes, LOAD_LOG)
 
 
 def load_failed(log: DataFrame) -> bool:
@@ -242,7 +243,7 @@ def materialize(
                 path = f"{out}/{checked_name(layer)}/{checked_name(name)}"
                 if sort and name in sort:
                     frame = frame.sortWithinPartitions(*sort[name])
-                frame.write.mode("overwrite").parquet(path)
+                refresh_table(frame, path)
                 result[layer][name] = frame.sparkSession.read.parquet(path)
     return result
 

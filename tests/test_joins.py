@@ -1,14 +1,17 @@
-"""Skew-aware joins and distributed ranks against plain Spark."""
+"""Skewed joins, pushdown and distributed ranks."""
 
 import random
+from contextlib import contextmanager
 
 from conftest import row_set, rows
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from martwright.operators.joins import keyed_join, orphans
+from martwright.operators import kpis
+from martwright.operators.joins import orphans
 from martwright.operators.ranking import exact_median, global_rank, top_k
-from martwright.session import broadcast_limit, estimated_bytes
+from martwright.registry import Tables
+from martwright.sources.star import merged_sales
 
 
 def skewed(frame, n=3000):
@@ -21,89 +24,63 @@ def skewed(frame, n=3000):
     return frame(data, "key string, v long, note string")
 
 
-def lookup(frame, copies=1):
-    data = [("hot", f"h{c}") for c in range(copies)] + [(f"k{i}", f"n{i}") for i in range(0, 80, 2)]
-    return frame([*data, (None, "never")], "key string, label string")
-
-
-def test_salted_join_equals_plain_join(frame):
-    left, right = skewed(frame), lookup(frame, copies=3)
-    for how in ("left", "inner"):
-        plain = left.join(right, "key", how)
-        salted = keyed_join(left, right, "key", how, rows_per_salt=40, small_bytes=-1)
-        assert row_set(salted, "key", "v", "note", "label") == row_set(
-            plain, "key", "v", "note", "label"
-        )
-
-
-def test_salted_join_spreads_the_hot_key(frame):
-    left, right = skewed(frame), lookup(frame)
-    salted = keyed_join(left, right, "key", rows_per_salt=40, small_bytes=-1)
-    plan = salted._jdf.queryExecution().optimizedPlan().toString()
-    assert "_salt" in plan and "_salt" not in salted.columns
-
-
 def largest_task_share(joined):
-    counts = [
-        n for n, in rows(joined.groupBy(F.spark_partition_id().alias("p")).count(), "count")
-    ]
+    """Rows of the largest task over all; every column of the join is needed."""
+    task = joined.select(F.spark_partition_id().alias("p"), F.struct("*").alias("row"))
+    counts = [n for n, in rows(task.groupBy("p").agg(F.count("*").alias("n"), F.max("row")), "n")]
     return max(counts) / sum(counts)
 
 
-def test_no_task_gets_the_whole_hot_key_even_of_copies(spark, frame):
-    copies = [("hot", 1, "same")] * 2000 + [(None, 1, "same")] * 1000
-    others = [(f"k{i % 80}", i, f"row{i}") for i in range(3000)]
-    left = frame(copies + others, "key string, v long, note string").repartition(16)
-    settings = {
-        "spark.sql.adaptive.enabled": "false",
-        "spark.sql.shuffle.partitions": "16",
-        "spark.sql.autoBroadcastJoinThreshold": "-1",
-    }
-    before = {k: spark.conf.get(k) for k in settings}
+@contextmanager
+def settings(spark, **conf):
+    conf = {"spark.sql." + k.replace("__", "."): v for k, v in conf.items()}
+    before = {k: spark.conf.get(k) for k in conf}
     try:
-        for k, v in settings.items():
+        for k, v in conf.items():
             spark.conf.set(k, v)
-        plain = left.join(lookup(frame), "key", "left")
-        salted = keyed_join(left, lookup(frame), "key", rows_per_salt=100)
-        assert largest_task_share(plain) > 0.33
-        assert largest_task_share(salted) < 0.2
-        assert salted.count() == plain.count() == 6000
+        yield
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
 
 
-def test_map_columns_are_carried(frame):
-    left = frame([("a", {"x": 1}), (None, None)], "key string, m map<string,int>")
-    salted = keyed_join(left, lookup(frame), "key", small_bytes=-1)
-    assert sorted(r.m is None for r in salted.collect()) == [False, True]
-
-
-def test_profile_frame_only_steers_the_salting(frame):
-    left, right = skewed(frame), lookup(frame)
-    salted = keyed_join(
-        left, right, "key", rows_per_salt=10, small_bytes=-1, profile=left.select("key").limit(100)
-    )
-    assert row_set(salted) == row_set(left.join(right, "key", "left"))
-
-
-def test_small_lookup_stays_a_plain_join(frame):
-    joined = keyed_join(skewed(frame), lookup(frame), "key", small_bytes=1 << 70)
-    assert "_salt" not in joined._jdf.queryExecution().optimizedPlan().toString()
-
-
-def test_two_key_columns(frame):
-    left = frame([("a", 1, i) for i in range(50)] + [("b", None, 1)], "x string, y int, v int")
-    right = frame([("a", 1, "hit"), ("b", 1, "miss")], "x string, y int, tag string")
-    salted = keyed_join(left, right, ["x", "y"], rows_per_salt=5, small_bytes=-1)
-    assert row_set(salted, "x", "y", "v", "tag") == row_set(
-        left.join(right, ["x", "y"], "left"), "x", "y", "v", "tag"
-    )
-
-
-def test_size_helpers(spark, frame):
-    assert estimated_bytes(frame([(1,)], "a int")) > 0
-    assert broadcast_limit(spark) == 10 * 1024 * 1024
+def test_hot_and_null_keys_are_split_by_their_size(spark, tmp_path):
+    wide = F.repeat(F.md5(F.col("id").cast("string")), 8)
+    share = F.when(F.col("id") % 10 < 6, "hot").when(F.col("id") % 10 > 7, F.concat(F.lit("k"), F.col("id") % 997))
+    path = str(tmp_path / "left")
+    spark.range(60_000, numPartitions=16).select(share.alias("key"), wide.alias("note")).write.parquet(path)
+    lookup = spark.range(997).select(F.concat(F.lit("k"), F.col("id")).alias("key"), "id")
+    lookup = lookup.union(spark.sql("SELECT 'hot', -1L"))
+    with settings(
+        spark,
+        autoBroadcastJoinThreshold="-1",
+        shuffle__partitions="16",
+        adaptive__advisoryPartitionSizeInBytes="256k",
+        adaptive__skewJoin__skewedPartitionThresholdInBytes="256k",
+    ):
+        joined = spark.read.parquet(path).join(lookup, "key", "left").select("key", "id", "note")
+        assert largest_task_share(joined) < 0.2
+        assert joined.filter("key = 'hot' and id = -1").count() == 36_000
+        assert joined.filter("key is null and id is null").count() == 12_000
+
+
+def test_a_dashboard_filter_reaches_the_fact_scan(spark, tmp_path):
+    tables = Tables(spark, "/root/testdata/sf0.001")
+    names = ("fct_sales", "dim_products", "dim_customers")
+    for name in names:
+        getattr(tables, name).write.parquet(str(tmp_path / name))
+    stored = Tables(spark, "/root/testdata/sf0.001", {n: str(tmp_path / n) for n in names})
+    with settings(spark, autoBroadcastJoinThreshold="-1", maxMetadataStringLength="4000"):
+        sales = merged_sales(stored.fct_sales, stored.dim_products, stored.dim_customers)
+        month = kpis.slice_sales(sales, "1997-04-01", "1997-04-30")
+        frame = kpis.revenue_by_country(month)
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+    scan = next(line for line in plan.splitlines() if "FileScan" in line and "order_date" in line)
+    assert "1997-04-01" in scan and "1997-04-30" in scan
+    read = scan.split("ReadSchema: struct<")[1]
+    assert {c.split(":")[0] for c in read.rstrip(">").split(",") if ":" in c} <= {
+        "product_key", "customer_key", "order_date", "gross_sales_amount"
+    }
 
 
 def test_orphans_counts_rows_per_missing_key(frame):

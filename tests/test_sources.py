@@ -78,7 +78,7 @@ def test_batch_load_isolates_failures(spark, tmp_path):
     assert got["erp_px_cat_g1v2"] == ("success", 3, 3)
     assert tables.load_failed(log)
     errors = {r.table_name: r.error_message for r in log.filter("status = 'error'").collect()}
-    assert errors["erp_loc_a101"].startswith("Missing source file")
+    assert errors["erp_loc_a101"].startswith("no source file at")
 
 
 def test_a_bad_value_fails_only_its_table(spark, tmp_path):
@@ -116,6 +116,13 @@ def test_append_and_refresh(frame, tmp_path):
     assert tables.append_rows(df.limit(0), path) == 0
     assert [tables.append_rows(df, path) for _ in range(2)] == [2, 2]
     assert tables.refresh_table(df, path) == 2
+    # A failed refresh leaves the old rows, and rows may be replaced by ones made from them.
+    with pytest.raises(Exception, match="bad"):
+        tables.refresh_table(df.selectExpr("raise_error('bad') as a"), path)
+    old = df.sparkSession.read.parquet(path)
+    assert old.count() == 2
+    assert tables.refresh_table(old.union(old), path) == 4
+    assert [p.name for p in tmp_path.iterdir()] == ["t"]
 
 
 def test_names_are_guarded(spark):
