@@ -45,7 +45,7 @@ def settings(spark, **conf):
 
 
 def test_hot_and_null_keys_are_split_by_their_size(spark, tmp_path):
-    wide = F.repeat(F.md5(F.col("id").cast("string")), 8)
+    wide = F.concat(*(F.md5(F.concat(F.lit(f"{i} "), F.col("id"))) for i in range(8)))
     share = F.when(F.col("id") % 10 < 6, "hot").when(F.col("id") % 10 > 7, F.concat(F.lit("k"), F.col("id") % 997))
     path = str(tmp_path / "left")
     spark.range(60_000, numPartitions=16).select(share.alias("key"), wide.alias("note")).write.parquet(path)
