@@ -27,7 +27,7 @@ def skewed(frame, n=3000):
 def largest_task_share(joined):
     """Rows of the largest task over all; every column of the join is needed."""
     task = joined.select(F.spark_partition_id().alias("p"), F.struct("*").alias("row"))
-    counts = [n for n, in rows(task.groupBy("p").agg(F.count("*").alias("n"), F.max("row")), "n")]
+    counts = [r.n for r in task.groupBy("p").agg(F.count("*").alias("n"), F.max("row")).collect()]
     return max(counts) / sum(counts)
 
 
