@@ -43,11 +43,11 @@ def _frequent(path: str, limit: int, batches: Iterator[pa.RecordBatch]) -> Itera
 def frequent_table(docs: DataFrame, tokenizer: str) -> tuple[bytes, bytes]:
     """Compact table of frequent pre-tokens: their text joined by spaces, and one length byte each.
 
-    Chosen on documents picked by a hash of doc_id, about ``SAMPLE_DOCUMENTS`` of them at any
-    size of the input, so what reaches the driver is bounded.
+    Chosen on documents picked evenly, about ``SAMPLE_DOCUMENTS`` of them at any size of the
+    input; each of a few tasks reports a bounded list, which is all that reaches the driver.
     """
     every = max(1, docs.count() // SAMPLE_DOCUMENTS)
-    sample = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0)
+    sample = docs.filter(F.rand(7) * every < 1)
     found = arrow_map(
         sample.select(as_bytes()).repartition(_SAMPLE_TASKS),
         partial(_frequent, tokenizer, TABLE_WORDS // _SAMPLE_TASKS),
@@ -58,6 +58,7 @@ def frequent_table(docs: DataFrame, tokenizer: str) -> tuple[bytes, bytes]:
         counts[row["word"]] += row["n"]
     words = vocabulary(tokenizer)
     lengths = {w: len(words.ids(w)) for w, _ in counts.most_common(TABLE_WORDS)}
+    lengths = {w: n for w, n in lengths.items() if n < 256}
     return " ".join(lengths).encode(), bytes(lengths.values())
 
 

@@ -35,9 +35,9 @@ def url_key(url: str | None) -> str:
         return text.lower()
     scheme, host, port, rest = match.groups()
     host = host.lower().removeprefix("www.")
-    if port and (scheme or "").lower() + port not in ("http80", "https443"):
-        host += f":{port}"
-    return ",".join(reversed(host.split("."))) + ")" + (rest.split("#")[0] or "/").lower()
+    usual = (scheme or "").lower() + (port or "") in ("http80", "https443")
+    place = f":{port}" if port and not usual else ""
+    return ",".join(reversed(host.split("."))) + place + ")" + (rest.split("#")[0] or "/").lower()
 
 
 def payload_digest(payload: bytes) -> str:
