@@ -142,7 +142,7 @@ class Lexicon:
 class TransducerEncoder:
     """Words from the transducer, others by exact merges; both remembered up to a limit."""
 
-    def __init__(self, lexicon: Lexicon, merges: PackedIds, limit: int = 400_000):
+    def __init__(self, lexicon: Lexicon, merges: PackedIds, limit: int = 200_000):
         self.lexicon, self.merges, self.limit = lexicon, merges, limit
         self.known: dict[str, bytes] = {}
 

@@ -96,7 +96,7 @@ class PackedIds(dict):
     never held.
     """
 
-    def __init__(self, words: Vocabulary, limit: int = 400_000):
+    def __init__(self, words: Vocabulary, limit: int = 200_000):
         super().__init__()
         self.words, self.limit = words, limit
 

@@ -20,7 +20,7 @@ BITS = 18
 TRAIN_ROWS = 20_000
 TRAINERS = 4
 EPOCHS = 3
-_CACHE_WORDS = 400_000
+_CACHE_WORDS = 150_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _SALTS = np.array([0x1B873593, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F], np.uint64)
 _UPPER, _LOWER, _DIGIT = re.compile(rb"[A-Z]+"), re.compile(rb"[a-z\x80-\xff]+"), re.compile(rb"[0-9]+")

@@ -27,7 +27,7 @@ _SYMBOLS = b"#*$%&|<>"
 _SPACES = b" \t\n\r\x0b\x0c"
 _NOT_COUNTED = _SPACES + bytes(range(0x80, 0xC0))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_CACHE_WORDS = 400_000
+_CACHE_WORDS = 150_000
 
 
 class _Hashes(dict):

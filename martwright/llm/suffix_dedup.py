@@ -23,8 +23,8 @@ LENGTH = 200
 GRAM = 48
 # Blocks that share an anchor but differ, sorted in one go; above it single strings are counted.
 VARIANTS = 1 << 15
-_CHUNK = 1 << 19
-_SORT = 1 << 20
+_CHUNK = 1 << 18
+_SORT = 1 << 19
 _PLACE = np.uint64((1 << 20) - 1)
 _BASE = 0x9E3779B97F4A7C15
 

@@ -21,7 +21,7 @@ LIMIT = 2048
 SAMPLE_DOCUMENTS = 2000
 TABLE_WORDS = 1 << 15
 _SAMPLE_TASKS = 4
-_CACHE_WORDS = 400_000
+_CACHE_WORDS = 150_000
 _LONG = 64
 
 
