@@ -106,7 +106,8 @@ def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     model, rows = Ftrl(), []
     for part in batches:
         for text, label in zip(part.column("text"), part.column("label").to_pylist()):
-            rows.append((*features(text.as_py()), float(label)))
+            at, value = features(text.as_py())
+            rows.append((at.astype(np.int32), value.astype(np.float32), float(label)))
     for _ in range(EPOCHS):
         for at, value, label in rows:
             model.learn(at, value, label)
