@@ -20,7 +20,7 @@ def _each(make, table: str, columns: str, severity: str) -> list[Check]:
     return [make(table, column, severity) for column in columns.split()]
 
 
-def bronze_checks() -> list[Check]:
+def bronze_checks(day: str = "current_date()") -> list[Check]:
     """Raw tables: every rule only warns, except two parent checks left at the default."""
     cust, prd, sales = "crm_cust_info", "crm_prd_info", "crm_sales_details"
     demo, loc, cat = "erp_cust_az12", "erp_loc_a101", "erp_px_cat_g1v2"
@@ -56,7 +56,7 @@ def bronze_checks() -> list[Check]:
         *_each(not_null, demo, "cid", "warn"),
         *_each(clean_trimmed, demo, "cid gen", "warn"),
         expression(
-            demo, "bdate", "is null or try_cast(bdate as date) <= current_date()", "warn"
+            demo, "bdate", f"is null or try_cast(bdate as date) <= {day}", "warn"
         ),
         *_each(not_null, loc, "cid", "warn"),
         *_each(unique, loc, "cid", "warn"),
@@ -67,7 +67,7 @@ def bronze_checks() -> list[Check]:
     ]
 
 
-def silver_checks() -> list[Check]:
+def silver_checks(day: str = "current_date()") -> list[Check]:
     cust, prd, sales = "stg_crm_cust_info", "stg_crm_prd_info", "stg_crm_sales_details"
     demo, loc, cat = "stg_erp_cust_az12", "stg_erp_loc_a101", "stg_erp_px_cat_g1v2"
     since_1900 = f">= date '{MISSING_ORDER_DATE}'"
@@ -107,7 +107,7 @@ def silver_checks() -> list[Check]:
         *_each(not_null, demo, "cid", "error"),
         *_each(clean_trimmed, demo, "cid gen", "error"),
         relationships(demo, "cid", cust, "cst_key"),
-        expression(demo, "bdate", "<= current_date()"),
+        expression(demo, "bdate", f"<= {day}"),
         expression(demo, "bdate", since_1900, "warn", label="since_1900"),
         accepted(demo, "gen", ["Male", "Female"]),
         *_each(not_null, loc, "cid", "error"),
@@ -141,5 +141,7 @@ def gold_checks() -> list[Check]:
     ]
 
 
-def all_checks() -> list[Check]:
-    return [*bronze_checks(), *silver_checks(), *gold_checks()]
+def all_checks(as_of=None) -> list[Check]:
+    """Every declared check; dates are compared with the day of the run, today if not given."""
+    day = "current_date()" if as_of is None else f"to_date(timestamp '{as_of}')"
+    return [*bronze_checks(day), *silver_checks(day), *gold_checks()]

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from martwright import schemas
+from martwright.functions.columns import as_stamp
 from martwright.operators import gold, quality, silver, telemetry
 from martwright.operators.quality import Check
 from martwright.plans.suites import all_checks
@@ -121,10 +122,11 @@ def build_warehouse(spark: SparkSession, source: str, out: str, run_id: str, as_
         name: spark.read.schema(schema).parquet(f"{out}/bronze/{name}")
         for name, (_, schema) in schemas.BRONZE.items()
     }
-    staged = silver_layer(bronze, as_of)
+    day = None if as_of is None else F.to_date(as_stamp(as_of))
+    staged = silver_layer(bronze, as_of, day)
     tables.materialize({"silver": staged}, out)
     stored = build_gold(staged, out)
-    checks = all_checks()
+    checks = all_checks(as_of)
     logs = quality.run_suite({**bronze, **staged, **stored}, checks, run_id, as_of)
 
     loads = tables.ingestion_log_rows(load_log, as_of, telemetry.LOAD_RESOURCE)
