@@ -16,8 +16,6 @@ from martwright.llm.common import arrow_map, as_bytes
 
 BITS = 18
 SMOOTHING = 0.5
-# Trusted rows that make up the target, at most.
-TARGET_ROWS = 20_000
 # Mean log-likelihood ratio of a text's n-grams below which it is not like the target.
 THRESHOLD = -0.35
 MIN_WORDS = 20
@@ -94,48 +92,39 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows in batches:
         found: list[list[np.ndarray]] = [[], []]
         held = 0
-        for text, trusted in zip(rows.column("text"), rows.column("trusted").to_pylist()):
+        for text, target in zip(rows.column("text"), rows.column("target").to_pylist()):
             buckets = gram_buckets(word_hashes(text.as_py().split()))
-            found[trusted].append(buckets)
+            found[target].append(buckets)
             held += len(buckets)
             if held > 1 << 20:
                 _add(counts, found)
                 found, held = [[], []], 0
         _add(counts, found)
-    at = np.flatnonzero(counts[1])
+    at = np.flatnonzero(counts.any(axis=0))
     yield pa.RecordBatch.from_arrays(
-        [pa.array(at, pa.int32()), pa.array(counts[0, at]), pa.array(counts[1, at])], schema=_COUNTS
+        [pa.array(at, pa.int32()), pa.array(counts[1, at]), pa.array(counts[0, at])], schema=_COUNTS
     )
 
 
 def _add(counts: np.ndarray, found: list[list[np.ndarray]]) -> None:
-    """Every text counts for the raw corpus, trusted ones for the target as well."""
-    for trusted, parts in enumerate(found):
+    for target, parts in enumerate(found):
         if parts:
-            here = np.bincount(np.concatenate(parts), minlength=1 << BITS)
-            counts[1] += here
-            if trusted:
-                counts[0] += here
+            counts[target] += np.bincount(np.concatenate(parts), minlength=1 << BITS)
 
 
-def likelihood_ratios(docs: DataFrame, trusted: DataFrame, rows: int = TARGET_ROWS) -> np.ndarray:
+def likelihood_ratios(docs: DataFrame, trusted: DataFrame) -> np.ndarray:
     """Log of each bucket's target share over its raw share, both smoothed.
 
-    The raw counts cover every document. The target counts come from at most ``rows`` trusted
-    ids, chosen by a hash of doc_id and so few that they are broadcast. A task reports one row
-    per bucket, so 2^18 rows of sums are all that reaches the driver.
+    The raw counts cover every document, the target counts every trusted one. Raw texts are counted
+    where they are read; only trusted texts meet the list of trusted ids. A task reports one row per
+    bucket, so 2^18 rows of sums are all that reaches the driver.
     """
-    chosen = (
-        trusted.select(F.col("doc_id").cast("long")).dropna().distinct()
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-        .select("doc_id", F.lit(True).alias("trusted"))
-    )
-    flagged = docs.select(F.col("doc_id").cast("long"), as_bytes()).join(F.broadcast(chosen), "doc_id", "left")
-    counted = arrow_map(
-        flagged.select("text", F.coalesce("trusted", F.lit(False)).alias("trusted")),
-        _count,
-        "bucket int, target long, raw long",
+    rows = docs.select(F.col("doc_id").cast("long"), as_bytes())
+    ids = trusted.select(F.col("doc_id").cast("long")).dropna().distinct()
+    both = rows.select("text", F.lit(False).alias("target")).unionByName(
+        rows.join(ids, "doc_id", "left_semi").select("text", F.lit(True).alias("target"))
     )
+    counted = arrow_map(both, _count, "bucket int, target long, raw long")
     sums = counted.groupBy("bucket").agg(F.sum("target").alias("target"), F.sum("raw").alias("raw")).collect()
     counts = np.zeros((2, 1 << BITS))
     for row in sums:
