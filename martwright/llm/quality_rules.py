@@ -26,6 +26,7 @@ _SPACES = b" \t\n\r\x0b\x0c"
 _NOT_COUNTED = _SPACES + bytes(range(0x80, 0xC0))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _CACHE_WORDS = 150_000
+_FILTER_BITS = 26
 
 
 class _Hashes(dict):
@@ -112,17 +113,39 @@ def _add(counts: np.ndarray, found: list[list[np.ndarray]]) -> None:
             counts[target] += np.bincount(np.concatenate(parts), minlength=1 << BITS)
 
 
+def _only(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows whose doc_id is in ``ids`` (no id twice), few others' texts being moved to find out.
+
+    A bitmap of hashed ids, 2^26 bits at most, is broadcast and passes every wanted row; the exact
+    join follows. The join is the same at every size.
+    """
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << _FILTER_BITS))
+    part, bit = F.bitmap_bucket_number(slot).alias("part"), F.bitmap_bit_position(slot)
+    bits = ids.groupBy(part).agg(F.bitmap_construct_agg(bit).alias("bits"))
+    byte = F.conv(F.hex(F.substring("bits", (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    wanted = F.expr("shiftright(byte, shift) & 1") == 1
+    near = (
+        rows.withColumn("part", part)
+        .join(F.broadcast(bits), "part")
+        .select("doc_id", "text", byte.alias("byte"), (bit % 8).cast("int").alias("shift"))
+        .filter(wanted)
+        .select("doc_id", "text")
+    )
+    # Ids occur once. A semi join would be moved below the filter.
+    return near.join(ids.hint("merge"), "doc_id")
+
+
 def likelihood_ratios(docs: DataFrame, trusted: DataFrame) -> np.ndarray:
     """Log of each bucket's target share over its raw share, both smoothed.
 
     The raw counts cover every document, the target counts every trusted one. Raw texts are counted
-    where they are read; only trusted texts meet the list of trusted ids. A task reports one row per
-    bucket, so 2^18 rows of sums are all that reaches the driver.
+    where they are read; trusted texts are shuffled once. A task reports one row per bucket, so 2^18
+    rows of sums are all that reaches the driver.
     """
     rows = docs.select(F.col("doc_id").cast("long"), as_bytes())
     ids = trusted.select(F.col("doc_id").cast("long")).dropna().distinct()
     both = rows.select("text", F.lit(False).alias("target")).unionByName(
-        rows.join(ids, "doc_id", "left_semi").select("text", F.lit(True).alias("target"))
+        _only(rows, ids).select("text", F.lit(True).alias("target"))
     )
     counted = arrow_map(both, _count, "bucket int, target long, raw long")
     sums = counted.groupBy("bucket").agg(F.sum("target").alias("target"), F.sum("raw").alias("raw")).collect()
