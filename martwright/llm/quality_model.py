@@ -188,15 +188,17 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
-def _score_docs(model: Broadcast, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _score_docs(model: Broadcast, at: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows in batches:
-        kept = [score_text(text.as_py(), model.value) >= 0.5 for text in rows.column("text")]
-        yield pa.RecordBatch.from_arrays([rows.column("doc").filter(pa.array(kept, pa.bool_()))], names=["doc"])
+        docs = rows.column("doc")
+        texts = docs.field(at).cast(pa.binary())
+        kept = [score_text(text.as_py() or b"", model.value) >= 0.5 for text in texts]
+        yield pa.RecordBatch.from_arrays([docs.filter(pa.array(kept, pa.bool_()))], names=["doc"])
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that the classifier accepts; columns unchanged."""
+    """The documents that the classifier accepts; columns unchanged, whole rows sent to Python once."""
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
-    rows = docs.select(F.struct(*docs.columns).alias("doc"), as_bytes())
-    schema = rows.select("doc").schema
-    return arrow_map(rows, partial(_score_docs, model), schema).select("doc.*")
+    rows = docs.select(F.struct(*docs.columns).alias("doc"))
+    at = [c.lower() for c in docs.columns].index("text")
+    return arrow_map(rows, partial(_score_docs, model, at), rows.schema).select("doc.*")
