@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import zipfile
 from collections.abc import Callable, Iterable, Iterator
+from functools import partial
 from pathlib import Path
 
 import pyarrow as pa
@@ -41,12 +42,18 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _tidy(function: Callable, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Workers live on after a task; what Arrow no longer uses goes back to the machine."""
+    yield from function(batches)
+    pa.default_memory_pool().release_unused()
+
+
 def arrow_map(
     df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str
 ) -> DataFrame:
     """``mapInArrow`` with the package's code at hand on the executors."""
     ship(df.sparkSession)
-    return df.mapInArrow(function, schema)
+    return df.mapInArrow(partial(_tidy, function), schema)
 
 
 def as_bytes(column: str = "text") -> Column:

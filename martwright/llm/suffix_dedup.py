@@ -9,6 +9,7 @@ from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
@@ -150,19 +151,26 @@ def _unpack(z: bytes) -> bytes:
 _VARIANT_DDL = "h long, d long, n int, block binary"
 
 
+def _variants(rows: list[tuple]) -> pa.RecordBatch:
+    h, d, n, block = zip(*rows)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(h, pa.int64()), pa.array(d, pa.int64()), pa.array(n, pa.int32()), pa.array(block, pa.binary())],
+        names=["h", "d", "n", "block"],
+    )
+
+
 def _cut_blocks(length: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows in batches:
         out: list[tuple] = []
-        for z, wanted in zip(rows.column("z"), rows.column("wanted").to_pylist()):
+        for z, wanted in zip(rows.column("z"), rows.column("wanted")):
             data = _unpack(z.as_py())
-            for w in wanted:
+            for w in wanted.as_py():
                 out.append((w["h"], w["d"], w["n"], data[w["at"] : w["at"] + w["n"] + length - 1]))
+            if len(out) >= 1 << 15:
+                yield _variants(out)
+                out = []
         if out:
-            h, d, n, block = zip(*out)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(h, pa.int64()), pa.array(d, pa.int64()), pa.array(n, pa.int32()), pa.array(block, pa.binary())],
-                names=["h", "d", "n", "block"],
-            )
+            yield _variants(out)
 
 
 _FOUND = pa.schema([("h", pa.int64()), ("d", pa.int64()), ("first", pa.int32()), ("last", pa.int32())])
@@ -366,9 +374,9 @@ _RESULT = pa.schema(
 def _report(length: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows in batches:
         out = []
-        for z, spans in zip(rows.column("z"), rows.column("spans").to_pylist()):
+        for z, spans in zip(rows.column("z"), rows.column("spans")):
             data = _unpack(z.as_py())
-            ranges = merged_spans(spans, length)
+            ranges = merged_spans(spans.as_py(), length)
             kept = without(data, ranges)
             out.append((len(data), len(data) - len(kept), len(ranges), hashlib.sha256(kept).hexdigest()))
         columns = [pa.array(c, f.type) for c, f in zip(zip(*out), list(_RESULT)[1:])] if out else []
@@ -392,13 +400,18 @@ def repeat_report(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Da
     )
 
 
-def _strip(length: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _strip(length: int, at: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows in batches:
-        kept = [
-            without(data.as_py(), merged_spans(spans, length)).decode(errors="ignore")
-            for data, spans in zip(rows.column("text"), rows.column("spans").to_pylist())
-        ]
-        yield pa.RecordBatch.from_arrays([rows.column("doc"), pa.array(kept, pa.string())], names=["doc", "kept"])
+        docs = rows.column("doc")
+        texts, kept = docs.field(at), []
+        for text, spans in zip(texts.cast(pa.binary()), rows.column("spans")):
+            ranges = merged_spans(spans.as_py(), length)
+            kept.append(without(text.as_py(), ranges).decode(errors="ignore") if ranges else None)
+        changed = pa.array([x is not None for x in kept], pa.bool_())
+        fields = [docs.field(i) for i in range(docs.type.num_fields)]
+        fields[at] = pc.if_else(changed, pa.array(kept, texts.type), texts)
+        new = pa.StructArray.from_arrays(fields, fields=list(docs.type))
+        yield pa.RecordBatch.from_arrays([new, changed], names=["doc", "changed"])
 
 
 def strip_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -414,18 +427,15 @@ def strip_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Da
         "doc",
         F.coalesce(F.col("doc.doc_id").cast("long"), F.lit(-1)).alias("kid"),
         F.xxhash64(text).alias("th"),
-        text.alias("text"),
     )
-    rows = rows.join(spans, ["kid", "th"], "left").select("doc", "text", "spans")
-    schema = T.StructType([rows.schema["doc"], T.StructField("kept", T.StringType())])
-    out = arrow_map(rows, partial(_strip, length), schema)
-    changed = F.col("doc.text").isNotNull() & (F.col("doc.text") != F.col("kept"))
+    rows = rows.join(spans, ["kid", "th"], "left").select("doc", "spans")
+    schema = T.StructType([rows.schema["doc"], T.StructField("changed", T.BooleanType())])
+    at = [c.lower() for c in docs.columns].index("text")
+    out = arrow_map(rows, partial(_strip, length, at), schema)
     columns = []
     for field in docs.schema:
         value = F.col(f"doc.`{field.name}`")
-        if field.name == "text":
-            value = F.when(changed, F.col("kept")).otherwise(value)
-        elif field.name == "n_chars":
-            value = F.when(changed, F.char_length("kept").cast(field.dataType)).otherwise(value)
+        if field.name == "n_chars":
+            value = F.when(F.col("changed"), F.char_length("doc.text").cast(field.dataType)).otherwise(value)
         columns.append(value.alias(field.name))
     return out.select(*columns)

@@ -15,15 +15,11 @@ class Buffer:
         self.size, self.depth = len(data), depth
         text = np.frombuffer(data + _PAD + bytes(depth), np.uint8)
         self.text = text
-        words = np.zeros(len(text) - 8, np.uint64)
-        for i in range(8):
-            words |= text[i : len(words) + i].astype(np.uint64) << np.uint64(56 - 8 * i)
-        self.words = words
-        # Suffixes smaller than their successor: the first byte that differs is larger.
+        self.words = np.ndarray(len(text) - 8, ">u8", text, strides=(1,)).astype(np.uint64)
+        # Suffixes smaller than their successor: the first byte that differs is larger. The
+        # padding's last change ends the buffer, so each run of equal bytes has an answer.
         step = np.flatnonzero(text[1:] != text[:-1])
-        where = np.searchsorted(step, np.arange(len(data) + 2))
-        after = step[np.minimum(where, len(step) - 1)] + 1
-        self.rises = text[after] > text[: len(after)]
+        self.rises = np.repeat(text[step + 1] > text[step], np.diff(step, prepend=-1))
 
     def _offsets(self):
         """Start and mask of the words that make up ``depth`` bytes."""
