@@ -103,18 +103,16 @@ def sigmoid(x: float) -> float:
 
 
 def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    model, rows = Ftrl(), []
+    """Learn row by row; memory holds the model and one batch, whatever the texts' length."""
+    model, n = Ftrl(), 0
     for part in batches:
         for text, label in zip(part.column("text"), part.column("label").to_pylist()):
-            at, value = features(text.as_py())
-            rows.append((at.astype(np.int32), value.astype(np.float32), float(label)))
-    for _ in range(EPOCHS):
-        for at, value, label in rows:
-            model.learn(at, value, label)
-    if rows:
+            model.learn(*features(text.as_py()), float(label))
+            n += 1
+    if n:
         weights = model.weights(slice(None)).astype("<f4").tobytes()
         yield pa.RecordBatch.from_arrays(
-            [pa.array([len(rows)], pa.int64()), pa.array([weights], pa.binary())], names=["n", "weights"]
+            [pa.array([n], pa.int64()), pa.array([weights], pa.binary())], names=["n", "weights"]
         )
 
 
@@ -143,7 +141,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int
     # A doc_id that occurs often counts once.
     known = known.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
     shares = known.repartition(TRAINERS, F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(TRAINERS)))
-    shares = shares.sortWithinPartitions(F.xxhash64("doc_id", F.lit(2)), "doc_id", "label", "text")
+    # Each epoch passes the share again, in the same order; the rows are shuffled once.
+    shares = shares.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(EPOCHS))))
+    shares = shares.sortWithinPartitions("epoch", F.xxhash64("doc_id", F.lit(2)), "doc_id", "label", "text")
     models = arrow_map(shares.select("text", "label"), _train, "n long, weights binary").collect()
     total = sum(m["n"] for m in models)
     out = np.zeros(1 << BITS, np.float32)
@@ -194,6 +194,8 @@ def _score_docs(model: Broadcast, at: int, batches: Iterator[pa.RecordBatch]) ->
         texts = docs.field(at).cast(pa.binary())
         kept = [score_text(text.as_py() or b"", model.value) >= 0.5 for text in texts]
         yield pa.RecordBatch.from_arrays([docs.filter(pa.array(kept, pa.bool_()))], names=["doc"])
+    # Later stages run in the same workers.
+    _words.cache_clear()
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
