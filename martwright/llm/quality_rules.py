@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache, partial
 
@@ -12,12 +14,19 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from martwright.llm.common import arrow_map, as_bytes
+from martwright.llm.common import arrow_map, as_bytes, shuffle_width, stored
 
 BITS = 18
 SMOOTHING = 0.5
 # Mean log-likelihood ratio of a text's n-grams below which it is not like the target.
 THRESHOLD = -0.35
+# Held-out scoring: buckets, pseudo-count of a ratio of one, and the share of the trusted texts,
+# each scored without itself, that the threshold may reject.
+WIDE_BITS = 22
+PRIOR = 2.0
+REJECTED_SHARE = 0.01
+# Thresholds are multiples of one over this.
+_STEPS = 1000
 MIN_WORDS = 20
 REPEAT_PERCENT = 30
 WINDOW = 8
@@ -27,6 +36,8 @@ _NOT_COUNTED = _SPACES + bytes(range(0x80, 0xC0))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _CACHE_WORDS = 150_000
 _FILTER_BITS = 26
+# Counts travel in blocks of this many buckets.
+_BLOCK = 1 << 14
 
 
 class _Hashes(dict):
@@ -48,10 +59,10 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(_hashes().__getitem__, words), np.uint64, len(words))
 
 
-def gram_buckets(hashes: np.ndarray) -> np.ndarray:
+def gram_buckets(hashes: np.ndarray, bits: int = BITS) -> np.ndarray:
     """Bucket of every one- and two-word gram."""
     two = hashes[:-1] * np.uint64(31) + hashes[1:]
-    return (np.concatenate([hashes * _MIX, two * _MIX]) >> np.uint64(64 - BITS)).astype(np.int64)
+    return (np.concatenate([hashes * _MIX, two * _MIX]) >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def repeated_words(words: list[bytes], hashes: np.ndarray, window: int = WINDOW) -> int:
@@ -84,33 +95,55 @@ def repeated_lines(text: bytes) -> int:
     return len(lines) - len(set(lines))
 
 
-_COUNTS = pa.schema([("bucket", pa.int32()), ("target", pa.int64()), ("raw", pa.int64())])
+_COUNTS = pa.schema([("block", pa.int32()), ("counts", pa.binary())])
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of a task: one row for each bucket at most."""
-    counts = np.zeros((2, 1 << BITS), np.int64)
+def _packed(counts: np.ndarray) -> bytes:
+    return zlib.compress(counts.astype(np.min_scalar_type(counts.max())), 1)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    """Target and raw counts of a block; the length tells the integers' size."""
+    plain = zlib.decompress(data)
+    return np.frombuffer(plain, f"u{len(plain) // (2 * _BLOCK)}").reshape(2, _BLOCK)
+
+
+def _count(bits: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of a task: one compressed row for each block of buckets at most."""
+    counts = np.zeros((2, 1 << bits), np.int64)
     for rows in batches:
         found: list[list[np.ndarray]] = [[], []]
         held = 0
         for text, target in zip(rows.column("text"), rows.column("target").to_pylist()):
-            buckets = gram_buckets(word_hashes(text.as_py().split()))
-            found[target].append(buckets)
+            buckets = gram_buckets(word_hashes(text.as_py().split()), bits)
+            found[not target].append(buckets)
             held += len(buckets)
             if held > 1 << 20:
                 _add(counts, found)
                 found, held = [[], []], 0
         _add(counts, found)
-    at = np.flatnonzero(counts.any(axis=0))
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(at, pa.int32()), pa.array(counts[1, at]), pa.array(counts[0, at])], schema=_COUNTS
-    )
+    for block in range((1 << bits) // _BLOCK):
+        part = counts[:, block * _BLOCK : (block + 1) * _BLOCK]
+        if part.any():
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([_packed(part)])], schema=_COUNTS)
 
 
 def _add(counts: np.ndarray, found: list[list[np.ndarray]]) -> None:
-    for target, parts in enumerate(found):
+    for side, parts in enumerate(found):
         if parts:
-            counts[target] += np.bincount(np.concatenate(parts), minlength=1 << BITS)
+            counts[side] += np.bincount(np.concatenate(parts), minlength=counts.shape[1])
+
+
+def _sum_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of the blocks dealt to a task."""
+    sums: dict[int, np.ndarray] = {}
+    for rows in batches:
+        for block, data in zip(rows.column("block").to_pylist(), rows.column("counts")):
+            if block not in sums:
+                sums[block] = np.zeros((2, _BLOCK), np.int64)
+            sums[block] += _unpacked(data.as_py()).astype(np.int64)
+    for block, total in sums.items():
+        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([_packed(total)])], schema=_COUNTS)
 
 
 def _only(rows: DataFrame, ids: DataFrame) -> DataFrame:
@@ -135,29 +168,60 @@ def _only(rows: DataFrame, ids: DataFrame) -> DataFrame:
     return near.join(ids.hint("merge"), "doc_id")
 
 
-def likelihood_ratios(docs: DataFrame, trusted: DataFrame) -> np.ndarray:
-    """Log of each bucket's target share over its raw share, both smoothed.
+def bucket_counts(docs: DataFrame, trusted: DataFrame, bits: int = BITS) -> np.ndarray:
+    """Grams of each bucket: in trusted texts, and in all texts.
 
     The raw counts cover every document, the target counts every trusted one. Raw texts are counted
-    where they are read; trusted texts are shuffled once. A task reports one row per bucket, so 2^18
-    rows of sums are all that reaches the driver.
+    where they are read; trusted texts are shuffled once. A task reports its counts as compressed
+    blocks, which are summed in Spark: two counts for each bucket are all that reaches the driver.
     """
     rows = docs.select(F.col("doc_id").cast("long"), as_bytes())
-    ids = trusted.select(F.col("doc_id").cast("long")).dropna().distinct()
     both = rows.select("text", F.lit(False).alias("target")).unionByName(
-        _only(rows, ids).select("text", F.lit(True).alias("target"))
+        _only(rows, _ids(trusted)).select("text", F.lit(True).alias("target"))
     )
-    counted = arrow_map(both, _count, "bucket int, target long, raw long")
-    sums = counted.groupBy("bucket").agg(F.sum("target").alias("target"), F.sum("raw").alias("raw")).collect()
-    counts = np.zeros((2, 1 << BITS))
-    for row in sums:
-        counts[:, row["bucket"]] = row["target"], row["raw"]
+    schema = "block int, counts binary"
+    counted = arrow_map(both, partial(_count, bits), schema)
+    dealt = counted.repartition(shuffle_width(docs.sparkSession), "block")
+    counts = np.zeros((2, 1 << bits), np.int64)
+    for row in arrow_map(dealt, _sum_blocks, schema).collect():
+        counts[:, row["block"] * _BLOCK : (row["block"] + 1) * _BLOCK] = _unpacked(bytes(row["counts"]))
+    return counts
+
+
+def _ids(trusted: DataFrame) -> DataFrame:
+    return trusted.select(F.col("doc_id").cast("long")).dropna().distinct()
+
+
+def likelihood_ratios(docs: DataFrame, trusted: DataFrame) -> np.ndarray:
+    """Log of each bucket's target share over its raw share, both smoothed."""
+    counts = bucket_counts(docs, trusted)
     if not counts[0].any():
         return np.zeros(1 << BITS, np.float32)
     share = (counts + SMOOTHING) / (counts + SMOOTHING).sum(axis=1, keepdims=True)
     return (np.log(share[0]) - np.log(share[1])).astype(np.float32)
 
 
+def held_out_means(buckets: np.ndarray, counts: np.ndarray, totals: tuple[int, int]) -> tuple[float, float]:
+    """Mean log ratio of a text's grams, had it been trusted or not, without its own counts.
+
+    A gram's ratio is its target count over the count that its raw share leads to expect, both
+    raised by ``PRIOR``: what the other texts do not have has ratio one.
+    """
+    if not len(buckets):
+        return 0.0, 0.0
+    at, own = np.unique(buckets, return_counts=True)
+    size = len(buckets)
+    target, raw = counts[0, at], counts[1, at] - own
+    rest = max(totals[1] - size, 1)
+
+    def mean(seen: np.ndarray, total: int) -> float:
+        ratio = np.log((seen + PRIOR) / (raw * (total / rest) + PRIOR))
+        return float((ratio * own).sum() / size)
+
+    # An untrusted text may count fewer in the target than it has; its first mean is not used.
+    return mean(np.maximum(target - own, 0), max(totals[0] - size, 0)), mean(target, totals[0])
+
+
 _VERDICTS = pa.schema(
     [(c, pa.int64()) for c in ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
     + [("base_failed", pa.bool_()), ("kept", pa.bool_()), ("mean_ratio", pa.float64())]
@@ -168,13 +232,10 @@ _VERDICTS_DDL = (
 )
 
 
-def judge(text: bytes, ratios: np.ndarray, threshold: float = THRESHOLD) -> tuple:
-    """Columns of a text's verdict, in the order of the result."""
-    words = text.split()
-    hashes = word_hashes(words)
+def measures(text: bytes, words: list[bytes], hashes: np.ndarray) -> tuple:
+    """Plain counts of a text, and whether it fails by them."""
     repeats = repeated_words(words, hashes)
     failed = len(words) < MIN_WORDS or 100 * repeats > REPEAT_PERCENT * len(words)
-    mean = float(ratios[gram_buckets(hashes)].mean(dtype=np.float64)) if words else 0.0
     return (
         len(words),
         len(text.translate(None, _NOT_COUNTED)),
@@ -182,11 +243,18 @@ def judge(text: bytes, ratios: np.ndarray, threshold: float = THRESHOLD) -> tupl
         repeated_lines(text),
         repeats,
         failed,
-        not failed and mean >= threshold,
-        mean,
     )
 
 
+def judge(text: bytes, ratios: np.ndarray, threshold: float = THRESHOLD) -> tuple:
+    """Columns of a text's verdict, in the order of the result."""
+    words = text.split()
+    hashes = word_hashes(words)
+    plain = measures(text, words, hashes)
+    mean = float(ratios[gram_buckets(hashes)].mean(dtype=np.float64)) if words else 0.0
+    return *plain, not plain[-1] and mean >= threshold, mean
+
+
 def _judge(model: Broadcast, threshold: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows in batches:
         found = [judge(text.as_py(), model.value, threshold) for text in rows.column("text")]
@@ -208,3 +276,56 @@ def verdicts(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD)
     model = docs.sparkSession.sparkContext.broadcast(likelihood_ratios(docs, trusted))
     rows = docs.select(F.col("doc_id").cast("long"), as_bytes())
     return arrow_map(rows, partial(_judge, model, threshold), _VERDICTS_DDL)
+
+
+_MEANS = pa.schema([*list(_VERDICTS)[:7], ("as_trusted", pa.float64()), ("as_other", pa.float64())])
+_MEANS_DDL = _VERDICTS_DDL.split(", kept")[0] + ", as_trusted double, as_other double"
+
+
+def _measure(model: Broadcast, totals: tuple, bits: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for rows in batches:
+        found = []
+        for text in rows.column("text"):
+            data = text.as_py()
+            words = data.split()
+            hashes = word_hashes(words)
+            means = held_out_means(gram_buckets(hashes, bits), model.value, totals)
+            found.append((*measures(data, words, hashes), *means))
+        if found:
+            columns = [pa.array(c, f.type) for c, f in zip(zip(*found), list(_MEANS)[1:])]
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), *columns], schema=_MEANS)
+
+
+def lowest_kept(means: DataFrame, rejected_share: float) -> float:
+    """Largest threshold, in steps of 1/1000, that rejects at most this share of ``mean_ratio``."""
+    step = F.floor(F.col("mean_ratio") * _STEPS).alias("step")
+    steps = sorted(tuple(r) for r in means.groupBy(step).agg(F.count(F.lit(1))).collect())
+    allowed, below = rejected_share * sum(n for _, n in steps), 0
+    for at, n in steps:
+        below += n
+        if below > allowed:
+            return at / _STEPS
+    return -math.inf
+
+
+def held_out_verdicts(
+    docs: DataFrame, trusted: DataFrame, rejected_share: float = REJECTED_SHARE, bits: int = WIDE_BITS
+) -> DataFrame:
+    """The columns of ``verdicts``, every text being scored by the other texts alone.
+
+    A text's own grams are taken out of the raw counts and, if it is trusted, out of the target.
+    ``kept`` follows a threshold set so that at most ``rejected_share`` of the trusted texts that
+    hold the base rules fall below it. Rows are otherwise treated as ``verdicts`` does.
+    """
+    counts = bucket_counts(docs, trusted, bits)
+    totals = tuple(counts.sum(axis=1).tolist())
+    model = docs.sparkSession.sparkContext.broadcast(counts)
+    rows = docs.select(F.col("doc_id").cast("long"), as_bytes())
+    # Texts are not moved to learn which are trusted: both means are stored, and one is picked.
+    means = stored(arrow_map(rows, partial(_measure, model, totals, bits), _MEANS_DDL), "means")
+    marked = means.join(_ids(trusted).withColumn("trusted", F.lit(True)), "doc_id", "left")
+    mean = F.when(F.col("trusted"), F.col("as_trusted")).otherwise(F.col("as_other"))
+    marked = marked.withColumn("mean_ratio", mean)
+    threshold = lowest_kept(marked.filter("trusted and not base_failed"), rejected_share)
+    kept = ~F.col("base_failed") & (F.col("mean_ratio") >= F.lit(threshold))
+    return marked.withColumn("kept", kept).select(*_VERDICTS.names)

@@ -79,7 +79,7 @@ def op5_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     trusted = labels(spark, folder).filter("quality = 1")
-    return quality_rules.verdicts(documents(spark, folder), trusted)
+    return quality_rules.held_out_verdicts(documents(spark, folder), trusted)
 
 
 @query

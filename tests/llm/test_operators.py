@@ -8,10 +8,12 @@ import struct
 import zlib
 from collections import Counter, defaultdict
 from functools import partial
+from pathlib import Path
 
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from martwright.llm import (
@@ -20,6 +22,7 @@ from martwright.llm import (
     packing,
     quality_model,
     quality_rules,
+    queries,
     sharding,
     simhash,
     suffix_dedup,
@@ -470,6 +473,40 @@ def ratio_means(frame, ratios):
         yield sum(ratios[b] for b in found) / len(found) if found else 0.0
 
 
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01", "sf0.1"])
+def test_unseen_good_texts_are_kept_at_every_size(spark, tmp_path, size):
+    # A third of the labelled texts is left out of the labels that the query reads.
+    folder = Path("/root/testdata") / size
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    out = "pmod(xxhash64(doc_id), 3) = 0"
+    labels.filter(f"not ({out})").write.parquet(f"{tmp_path}/labels.parquet")
+    (tmp_path / "documents.parquet").symlink_to(folder / "documents.parquet")
+    found = queries.QUERIES["op6_quality_rules"](spark, str(tmp_path)).filter("not base_failed").join(labels, "doc_id")
+    share = {(r.left_out, r.quality): r for r in found.groupBy(F.expr(out).alias("left_out"), "quality").agg(
+        F.avg(F.col("kept").cast("double")).alias("kept"), F.count("*").alias("n")).collect()}
+    print(size, share)
+    assert share[False, 1].kept >= 0.99
+    assert share[True, 1].kept >= 0.85
+    if share[True, 0].n >= 5:
+        assert share[True, 0].kept <= 0.2
+
+
+def test_a_texts_own_grams_do_not_count(spark):
+    texts = {i: f"a b c d {' '.join(f'w{i}x{j}' for j in range(30))}" for i in range(12)}
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    trusted = spark.createDataFrame([(i,) for i in range(4)] + [(None,)], "doc_id long")
+    bits = quality_rules.WIDE_BITS
+    held = {i: Counter(quality_rules.gram_buckets(quality_rules.word_hashes(t.encode().split()), bits).tolist()) for i, t in texts.items()}
+    for r in quality_rules.held_out_verdicts(frame, trusted).collect():
+        target = sum((held[i] for i in range(4) if i != r.doc_id), Counter())
+        raw = sum((held[i] for i in texts if i != r.doc_id), Counter())
+        part, prior = sum(target.values()) / sum(raw.values()), quality_rules.PRIOR
+        logs = [n * np.log((target[b] + prior) / (raw[b] * part + prior)) for b, n in held[r.doc_id].items()]
+        assert r.mean_ratio == pytest.approx(sum(logs) / sum(held[r.doc_id].values()), abs=1e-9) and not r.base_failed
+    plain = quality_rules.held_out_verdicts(frame, trusted.filter("doc_id is null"))
+    assert plain.filter("not kept or mean_ratio <> 0").count() == 0
+
+
 # --- 7 ------------------------------------------------------------------------
 
 
