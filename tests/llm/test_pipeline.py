@@ -1,13 +1,15 @@
 """The pipeline against a plain Python version of its stages, and its registration."""
 
 import importlib
+import random
 import zlib
 from collections import defaultdict
+from itertools import combinations
 
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from martwright.llm import queries, quality_model, simhash
+from martwright.llm import near_copies, queries, quality_model, simhash
 from martwright.llm.queries import tokenizer_path
 from test_operators import brute_classes, brute_spans, lower
 
@@ -53,6 +55,65 @@ def test_stages_in_a_row(spark):
     assert first[i].ids_crc32 == zlib.crc32(b"".join(x.to_bytes(4, "little") for x in ids[: first[i].length]))
 
 
+def five_words(text):
+    words = lower(text).split()
+    return {tuple(words[i : i + 5]) for i in range(max(len(words) - 4, 1))}
+
+
+def stage_agrees_with_all_pairs(spark, docs):
+    """The near-dedup stage against exact similarity of every pair; the number of near pairs."""
+    rows = {r.doc_id: five_words(r.text) for r in docs.collect()}
+    by_shingle, root, near = defaultdict(list), {i: i for i in rows}, 0
+    for i, s in rows.items():
+        for x in s:
+            by_shingle[x].append(i)
+
+    def find(i):
+        return i if root[i] == i else find(root[i])
+
+    for a, b in {p for ids in by_shingle.values() for p in combinations(sorted(ids), 2)}:
+        if len(rows[a] & rows[b]) >= 0.8 * len(rows[a] | rows[b]):
+            near += 1
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    kept = corpus_pipeline.drop_near_copies(spark, docs, FOLDER)
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i in rows if root[i] == i)
+    return near
+
+
+def test_near_copies_are_found_as_by_all_pairs(spark):
+    pick = random.Random(8)
+    texts = []
+    for _ in range(30):
+        words = [f"w{pick.randrange(10_000)}" for _ in range(pick.randint(40, 300))]
+        for changes in (0, 1, 1, 2, 3, 4, 6, 9):
+            changed = list(words)
+            for _ in range(changes):
+                changed[pick.randrange(len(words))] = f"v{pick.randrange(10_000)}"
+            texts.append(" ".join(changed))
+    pick.shuffle(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert stage_agrees_with_all_pairs(spark, docs) > 100
+
+
+def test_near_copies_of_the_given_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    docs = corpus_pipeline.drop_exact_copies(spark, docs, FOLDER)
+    assert stage_agrees_with_all_pairs(spark, docs) > 0
+
+
+def test_near_copies_of_odd_rows(spark):
+    long = " ".join(f"w{i}" for i in range(100))
+    rows = [(3, long), (1, long + " end"), (None, long), (2, None), (4, " "), (5, "one"), (6, "One\n"), (7, "two")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = near_copies.keep_one(docs)
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(
+        [(1, long + " end"), (None, long), (2, None), (5, "one"), (7, "two")], key=str
+    )
+    assert near_copies.keep_one(docs.limit(0)).count() == 0
+
+
 def test_every_operator_is_registered():
     entry = importlib.import_module("__spark_entry__")
     registered = entry.queries()
