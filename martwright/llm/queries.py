@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from martwright.llm import (
     bpe,
     exact_dedup,
+    merkle,
     packing,
     quality_model,
     quality_rules,
@@ -137,3 +138,79 @@ FROM marked
 @query
 def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(documents(spark, folder), tokenizer_path())
+
+
+@query
+def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.tamper_check(documents(spark, folder))
+
+
+# CRC-32 of a decimal number, bit by bit.
+CRC32_MACRO = """
+xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST({id} AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+  lambda c, x: list_reduce(list_prepend(xor(c, x), CAST(range(8) AS BIGINT[])),
+    lambda v, k: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END)), 4294967295)
+"""
+
+_FRAMED = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen(CAST({0} AS VARCHAR)) || ':' || CAST({0} AS VARCHAR) END"
+
+
+def _leaf_sql(text: str) -> str:
+    fields = ["doc_id", "source", "lang", "n_chars", text]
+    return "sha256(" + " || ".join(_FRAMED.format(c) for c in fields) + ")"
+
+
+SQL["op13_merkle_manifest"] = f"""
+WITH RECURSIVE leaves AS (
+  SELECT doc_id, source, {_leaf_sql("text")} AS leaf,
+         CASE WHEN {CRC32_MACRO.format(id="doc_id")} % 2 = 0 THEN {_leaf_sql("replace(text, chr(10), '')")}
+              ELSE {_leaf_sql("text")} END AS seen
+  FROM documents
+),
+trees AS (
+  SELECT source, count(*) AS n, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS tree FROM leaves GROUP BY source
+),
+start AS (
+  SELECT tree, n, row_number() OVER (PARTITION BY l.source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, leaf, doc_id, seen
+  FROM leaves l JOIN trees t ON l.source IS NOT DISTINCT FROM t.source
+),
+nodes AS (
+  SELECT tree, 0 AS level, idx, n, leaf AS digest FROM start
+  UNION ALL
+  SELECT tree, level + 1, idx // 3, (any_value(n) + 2) // 3, sha256(string_agg(digest, '' ORDER BY idx))
+  FROM nodes WHERE n > 1 GROUP BY tree, level, idx // 3
+),
+over AS (
+  SELECT 0 AS level, tree AS idx, (SELECT count(*) FROM trees) AS n, digest FROM nodes WHERE n = 1
+  UNION ALL
+  SELECT level + 1, idx // 3, (any_value(n) + 2) // 3, sha256(string_agg(digest, '' ORDER BY idx))
+  FROM over WHERE n > 1 GROUP BY level, idx // 3
+),
+runs AS (
+  SELECT tree, level, idx // 3 AS run, string_agg(digest, '' ORDER BY idx) AS joined FROM nodes WHERE n > 1 GROUP BY ALL
+  UNION ALL
+  SELECT -1, level, idx // 3, string_agg(digest, '' ORDER BY idx) FROM over WHERE n > 1 GROUP BY ALL
+),
+walk AS (
+  SELECT doc_id, leaf, tree, tree AS here, 0 AS level, idx, n, CAST(0 AS BIGINT) AS step, '' AS proof, seen AS held, idx AS start_idx FROM start
+  UNION ALL
+  SELECT w.doc_id, w.leaf, w.tree,
+         CASE WHEN r.joined IS NULL THEN -1 ELSE w.here END,
+         CASE WHEN r.joined IS NULL THEN 0 ELSE w.level + 1 END,
+         CASE WHEN r.joined IS NULL THEN w.tree ELSE w.idx // 3 END,
+         CASE WHEN r.joined IS NULL THEN (SELECT count(*) FROM trees) ELSE (w.n + 2) // 3 END,
+         w.step + 1,
+         w.proof || coalesce(r.joined[:64 * (w.idx % 3)] || r.joined[64 * (w.idx % 3) + 65:], ''),
+         CASE WHEN r.joined IS NULL THEN w.held
+              ELSE sha256(r.joined[:64 * (w.idx % 3)] || w.held || r.joined[64 * (w.idx % 3) + 65:]) END,
+         w.start_idx
+  FROM walk w LEFT JOIN runs r ON r.tree = w.here AND r.level = w.level AND r.run = w.idx // 3
+  WHERE w.here >= 0 OR w.n > 1
+),
+done AS (SELECT * FROM walk WHERE here = -1 AND n = 1)
+SELECT d.doc_id, d.leaf, s.digest AS subroot, o.digest AS root, sha256(d.proof) AS proof_sha256,
+       d.held AS folded_root, d.held = o.digest AS verified
+FROM done d
+JOIN (SELECT tree, digest FROM nodes WHERE n = 1) s ON s.tree = d.tree
+JOIN (SELECT digest FROM over WHERE n = 1) o ON true
+"""
