@@ -12,6 +12,7 @@ from martwright.llm import (
     exact_dedup,
     merkle,
     packing,
+    prefix_trie,
     quality_model,
     quality_rules,
     sharding,
@@ -214,3 +215,62 @@ FROM done d
 JOIN (SELECT tree, digest FROM nodes WHERE n = 1) s ON s.tree = d.tree
 JOIN (SELECT digest FROM over WHERE n = 1) o ON true
 """
+
+
+@query
+def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.prefix_trie(spark.read.parquet(f"{folder}/conversations.parquet"))
+
+
+SQL["op11_prefix_trie"] = f"""
+WITH turns AS (
+  SELECT conv_id, strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '') AS framed,
+         length(coalesce(text, '')) AS n,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+           sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) - 1 AS rank
+  FROM conversations WHERE conv_id IS NOT NULL
+),
+own AS (
+  SELECT conv_id, count(*) AS size, conv_id - conv_id % 100 AS first_id, {CRC32_MACRO.format(id="conv_id")} % 6 AS h
+  FROM turns GROUP BY conv_id
+),
+convs AS (
+  SELECT o.conv_id, o.first_id, o.h, least(o.h, coalesce(f.size, 0)) AS taken,
+         least(o.h, coalesce(f.size, 0)) + greatest(o.size - o.h, 0) AS total
+  FROM own o LEFT JOIN own f ON f.conv_id = o.first_id
+),
+rebuilt AS (
+  SELECT c.conv_id, t.rank + 1 AS depth, c.total, t.framed, t.n
+  FROM convs c JOIN turns t ON t.conv_id = c.first_id AND t.rank < c.h
+  UNION ALL
+  SELECT c.conv_id, c.taken + t.rank - c.h + 1, c.total, t.framed, t.n
+  FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND t.rank >= c.h
+),
+path AS (
+  SELECT conv_id, depth, total, n,
+         string_agg(sha256(framed), '' ORDER BY depth) OVER (PARTITION BY conv_id ORDER BY depth) AS way FROM rebuilt
+  UNION ALL
+  SELECT conv_id, 0, total, 0, '' FROM convs
+),
+nodes AS (
+  SELECT depth, way, min(conv_id) AS conv_id, count(*) AS n_convs, min(n) AS n,
+         string_agg(CASE WHEN total = depth THEN CAST(conv_id AS VARCHAR) END, ',' ORDER BY conv_id) AS ends
+  FROM path GROUP BY depth, way
+),
+family AS (
+  SELECT p.depth, p.way, sum((n.n_convs - 1) * n.n) AS saved,
+         sum(CASE WHEN n.n_convs = len(string_split(n.ends, ',')) THEN 1 ELSE 0 END) AS leaves
+  FROM nodes n JOIN path p ON p.conv_id = n.conv_id AND p.depth <= n.depth
+  GROUP BY p.depth, p.way
+),
+kids AS (
+  SELECT depth - 1 AS depth, way[:64 * (depth - 1)] AS way, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1, 2
+)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, up.conv_id AS parent_conv_id, n.n_convs,
+       coalesce(k.n_children, 0) AS n_children, CAST(f.leaves AS BIGINT) AS n_leaves,
+       CAST(f.saved AS BIGINT) AS saved_tokens, sha256(coalesce(n.ends, '')) AS ends_sha256
+FROM nodes n
+JOIN family f ON f.depth = n.depth AND f.way = n.way
+LEFT JOIN kids k ON k.depth = n.depth AND k.way = n.way
+LEFT JOIN nodes up ON up.depth = n.depth - 1 AND up.way = n.way[:64 * (n.depth - 1)]
+"""
