@@ -17,6 +17,7 @@ from martwright.llm import (
     quality_rules,
     sharding,
     simhash,
+    substring_dedup,
     suffix_dedup,
     token_counts,
     warc,
@@ -274,3 +275,34 @@ JOIN family f ON f.depth = n.depth AND f.way = n.way
 LEFT JOIN kids k ON k.depth = n.depth AND k.way = n.way
 LEFT JOIN nodes up ON up.depth = n.depth - 1 AND up.way = n.way[:64 * (n.depth - 1)]
 """
+
+
+@query
+def op12_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substring_dedup.repeat_report(documents(spark, folder))
+
+
+SQL["op12_substring_dedup"] = """
+WITH split AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS words
+  FROM documents
+),
+windows AS (
+  SELECT doc_id, i, array_to_string(words[i:i + 19], ' ') AS run
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 18)) AS i FROM split)
+),
+repeats AS (
+  SELECT doc_id, i FROM windows
+  QUALIFY row_number() OVER (PARTITION BY run ORDER BY doc_id NULLS FIRST, i) > 1
+),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS i FROM repeats),
+lists AS (SELECT doc_id, list(i) AS gone FROM gone GROUP BY doc_id),
+single AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM split),
+kept AS (
+  SELECT s.doc_id, count(*) AS n, string_agg(s.word, ' ' ORDER BY s.i) AS text
+  FROM single s ANTI JOIN gone g ON g.doc_id = s.doc_id AND g.i = s.i GROUP BY s.doc_id
+)
+SELECT s.doc_id, CAST(len(s.words) AS BIGINT) AS n_words,
+       CAST(len(s.words) - coalesce(k.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
+FROM split s LEFT JOIN kept k ON k.doc_id = s.doc_id
+"""
