@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import time
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -11,22 +11,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from martwright.functions.columns import any_of, as_stamp
-from martwright.operators.joins import orphans
 from martwright.schemas import EXECUTION_LOGS
 
 
 @dataclass(frozen=True)
 class Check:
-    """One rule on one table. Row rules carry the predicate of a failing row."""
+    """One rule on one table. Row rules make the predicate of a failing row."""
 
     table: str
     rule: str
     column: str
     severity: str = "error"
-    failing: Column | None = None
+    failing: Callable[[], Column] | None = None
     parent: str | None = None
     parent_column: str | None = None
     label: str = ""
+    # What the rule was declared with: accepted values, the rest of an expression, other columns.
+    terms: tuple[str, ...] = ()
 
     @property
     def name(self) -> str:
@@ -35,7 +36,7 @@ class Check:
 
 
 def not_null(table: str, column: str, severity: str = "error") -> Check:
-    return Check(table, "not_null", column, severity, F.col(column).isNull())
+    return Check(table, "not_null", column, severity, lambda: F.col(column).isNull())
 
 
 def unique(table: str, column: str, severity: str = "error") -> Check:
@@ -44,7 +45,7 @@ def unique(table: str, column: str, severity: str = "error") -> Check:
 
 def accepted(table: str, column: str, values: list[str], severity: str = "error") -> Check:
     """Values outside the list fail; NULL passes."""
-    return Check(table, "accepted_values", column, severity, ~F.col(column).isin(values))
+    return Check(table, "accepted_values", column, severity, lambda: ~F.col(column).isin(values), terms=tuple(values))
 
 
 def relationships(
@@ -59,13 +60,14 @@ def expression(
     table: str, column: str, rest: str, severity: str = "error", label: str = ""
 ) -> Check:
     """``column rest`` must not be false; NULL passes. ``label`` tells two on a column apart."""
-    failing = ~F.expr(f"{column} {rest}")
-    return Check(table, "expression_is_true", column, severity, failing, label=label)
+    return Check(table, "expression_is_true", column, severity, lambda: ~F.expr(f"{column} {rest}"), label=label, terms=(rest,))
 
 
 def clean_trimmed(table: str, column: str, severity: str = "error") -> Check:
-    value = F.col(column)
-    bad = (value != F.trim(value)) | value.contains("  ")
+    def bad() -> Column:
+        value = F.col(column)
+        return (value != F.trim(value)) | value.contains("  ")
+
     return Check(table, "is_clean_trimmed", column, severity, bad)
 
 
@@ -76,28 +78,80 @@ def _not_before(start: str, end: str) -> Column:
 
 
 def date_before(table: str, column: str, end: str, severity: str = "error") -> Check:
-    return Check(table, "is_date_before", column, severity, _not_before(column, end))
+    return Check(table, "is_date_before", column, severity, lambda: _not_before(column, end), terms=(end,))
 
 
 def date_before_any(table: str, column: str, others: list[str], severity: str = "error") -> Check:
-    bad = any_of([_not_before(column, other) for other in others])
-    return Check(table, "is_date_before_columns", column, severity, bad)
+    def bad() -> Column:
+        return any_of([_not_before(column, other) for other in others])
+
+    return Check(table, "is_date_before_columns", column, severity, bad, terms=tuple(others))
+
 
+_ROW, _UNIQUE, _PARENT = range(3)
 
-def _row_pass(df: DataFrame, checks: list[Check]) -> DataFrame:
-    """All row rules of one table in one aggregation."""
-    counted = df.agg(
-        *[F.count_if(check.failing).alias(f"_{i}") for i, check in enumerate(checks)]
+
+def _entry(number: int, kind: int, value: Column, own: int) -> Column:
+    return F.struct(
+        F.lit(number).alias("check"),
+        F.lit(kind).alias("kind"),
+        value.cast("string").alias("value"),
+        F.lit(own).cast("long").alias("own"),
+        F.lit(1 - own).cast("long").alias("known"),
     )
-    return counted.select(
-        F.inline(
-            F.array(
-                *[
-                    F.struct(*_labels(check), F.col(f"_{i}").alias("failures"))
-                    for i, check in enumerate(checks)
-                ]
-            )
-        )
+
+
+def _entries(df: DataFrame, table: str, checks: list[Check]) -> DataFrame:
+    """What the rows of a table have to say on all checks, from one scan.
+
+    A row rule gets an entry for each failing row; a key rule one for each value, and a
+    relationship one for each value of its parent as well.
+    """
+    entries = []
+    for number, check in enumerate(checks):
+        if check.table == table:
+            value = F.col(check.column)
+            kind = _PARENT if check.parent else _UNIQUE
+            if check.failing is not None:
+                entries.append(F.when(check.failing(), _entry(number, _ROW, F.lit(None), 1)))
+            else:
+                entries.append(F.when(value.isNotNull(), _entry(number, kind, value, 1)))
+        if check.parent == table:
+            value = F.col(check.parent_column)
+            entries.append(F.when(value.isNotNull(), _entry(number, _PARENT, value, 0)))
+    return df.select(F.inline(F.array_compact(F.array(*entries))))
+
+
+def suite_failures(tables: dict[str, DataFrame], checks: list[Check]) -> DataFrame:
+    """Failing counts of every check as one lazy frame.
+
+    Each table is scanned once, and all key rules share one grouping by check and value, in
+    which rows of a common value are combined before the shuffle: repeated values are those with
+    several rows, orphans the rows of values that no parent holds. Keys are compared as text.
+    """
+    if not checks:
+        raise ValueError("no checks to run")
+    used = dict.fromkeys(t for c in checks for t in (c.table, c.parent) if t)
+    said = reduce(DataFrame.unionByName, [_entries(tables[t], t, checks) for t in used])
+    values = said.groupBy("check", "kind", "value").agg(
+        F.sum("own").alias("own"), F.sum("known").alias("known")
+    )
+    failing = (
+        F.when(F.col("kind") == _ROW, F.col("own"))
+        .when(F.col("kind") == _UNIQUE, (F.col("own") > 1).cast("long"))
+        .when(F.col("known") == 0, F.col("own"))
+        .otherwise(0)
+    )
+    counted = values.groupBy("check").agg(F.sum(failing).alias("_failures"))
+    labels = [F.struct(F.lit(i).alias("check"), *_labels(c)) for i, c in enumerate(checks)]
+    declared = said.sparkSession.range(1).select(F.inline(F.array(*labels)))
+    # Checks without an entry have nothing that fails.
+    return declared.join(counted, "check", "left").select(
+        "node_name",
+        "target_table",
+        "column_name",
+        "severity",
+        F.coalesce("_failures", F.lit(0).cast("long")).alias("failures"),
     )
 
 
@@ -110,38 +164,6 @@ def _labels(check: Check) -> list[Column]:
     ]
 
 
-def _key_pass(tables: dict[str, DataFrame], check: Check) -> DataFrame:
-    """Repeated values or orphaned rows of one column."""
-    frame = tables[check.table]
-    if check.rule == "unique":
-        repeated = (
-            frame.filter(F.col(check.column).isNotNull())
-            .groupBy(check.column)
-            .agg(F.count(F.lit(1)).alias("_rows"))
-        )
-        failures = repeated.agg(F.count_if(F.col("_rows") > 1).alias("failures"))
-    else:
-        lost = orphans(frame, check.column, tables[check.parent], check.parent_column)
-        failures = lost.agg(F.coalesce(F.sum("orphan_rows"), F.lit(0)).alias("failures"))
-    return failures.select(*_labels(check), "failures")
-
-
-def _passes(tables: dict[str, DataFrame], checks: list[Check]):
-    """(checks, lazy result) per pass: one per table for row rules, one per key rule."""
-    for table in dict.fromkeys(check.table for check in checks):
-        row_rules = [c for c in checks if c.table == table and c.failing is not None]
-        if row_rules:
-            yield row_rules, _row_pass(tables[table], row_rules)
-    for check in checks:
-        if check.failing is None:
-            yield [check], _key_pass(tables, check)
-
-
-def suite_failures(tables: dict[str, DataFrame], checks: list[Check]) -> DataFrame:
-    """Failing counts of every check as one lazy frame."""
-    return reduce(DataFrame.unionByName, [frame for _, frame in _passes(tables, checks)])
-
-
 def graded_status(failures="failures", severity="severity") -> Column:
     count, level = F.col(failures), F.col(severity)
     return F.when(count == 0, "pass").when(level == "warn", "warn").otherwise("fail")
@@ -152,31 +174,18 @@ def grade(results: DataFrame) -> DataFrame:
     return results.withColumn("status", graded_status())
 
 
-def _timed_counts(one_pass) -> list[tuple]:
-    members, frame = one_pass
-    started = time.perf_counter()
-    counted = frame.collect()
-    seconds = round((time.perf_counter() - started) / len(members), 2)
-    return [(*row, seconds) for row in counted]
-
-
-def run_suite(
-    tables: dict[str, DataFrame], checks: list[Check], run_id: str, as_of, at_once: int = 4
-) -> DataFrame:
+def run_suite(tables: dict[str, DataFrame], checks: list[Check], run_id: str, as_of) -> DataFrame:
     """Run every check now and return execution-log rows with their seconds.
 
-    Only the counts, one row per check, come to the driver. The seconds of a
-    shared pass are split evenly over its checks. ``at_once`` passes are
-    submitted side by side, so a short one does not leave the cluster idle.
+    Only the counts, one row per check, come to the driver. The seconds of the shared pass are
+    split evenly over the checks.
     """
-    if not checks:
-        raise ValueError("no checks to run")
-    spark = next(iter(tables.values())).sparkSession
-    with ThreadPoolExecutor(max_workers=at_once) as pool:
-        measured = pool.map(_timed_counts, list(_passes(tables, checks)))
-        rows = [row for counted in measured for row in counted]
-    measured = spark.createDataFrame(
-        rows,
+    failures = suite_failures(tables, checks)
+    started = time.perf_counter()
+    counted = failures.collect()
+    seconds = round((time.perf_counter() - started) / len(checks), 2)
+    measured = failures.sparkSession.createDataFrame(
+        [(*row, seconds) for row in counted],
         "node_name string, target_table string, column_name string, severity string,"
         "failures long, execution_time_seconds double",
     )

@@ -1,4 +1,7 @@
-"""The declared data tests of each layer, as Check lists."""
+"""The declared data tests of each layer, as Check lists.
+
+Fixed values: the rules, columns, limits and severities are the established declaration.
+"""
 
 from __future__ import annotations
 

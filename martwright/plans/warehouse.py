@@ -11,6 +11,7 @@ from martwright.operators import gold, quality, silver, telemetry
 from martwright.operators.quality import Check
 from martwright.plans.suites import all_checks
 from martwright.plans.telemetry_export import store_sections, stored_loads, telemetry_sections
+from martwright.session import cut_lineage
 from martwright.sources import tables
 
 # Dashboards filter the fact by order date.
@@ -114,8 +115,8 @@ def suite_results(logs: DataFrame) -> DataFrame:
 def build_warehouse(spark: SparkSession, source: str, out: str, run_id: str, as_of) -> dict:
     """Load, clean, model, test and record one run.
 
-    Silver stays a set of views; bronze, gold and the telemetry sections are
-    stored under ``out``. Returns every frame by layer plus the load log.
+    Silver is a set of views over rows stored for the session; bronze, gold and the telemetry
+    sections are stored under ``out``. Returns every frame by layer plus the load log.
     """
     load_log = tables.load_bronze(spark, source, f"{out}/bronze")
     bronze = {
@@ -123,7 +124,8 @@ def build_warehouse(spark: SparkSession, source: str, out: str, run_id: str, as_
         for name, (_, schema) in schemas.BRONZE.items()
     }
     day = None if as_of is None else F.to_date(as_stamp(as_of))
-    staged = silver_layer(bronze, as_of, day)
+    # Gold and the suite both read silver: it is computed once.
+    staged = {name: cut_lineage(frame) for name, frame in silver_layer(bronze, as_of, day).items()}
     tables.materialize({"silver": staged}, out)
     stored = build_gold(staged, out)
     checks = all_checks(as_of)

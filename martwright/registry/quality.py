@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from martwright.operators import quality
+from martwright.operators.gold import product_360
+from martwright.plans.suites import all_checks, bronze_checks, gold_checks, silver_checks
 from martwright.registry import GOLD, Catalog, d, r, rounded
 from martwright.registry.silver import SILVER, SILVER_CTES
-from martwright.registry.star import staged
+from martwright.registry.star import TIERS, staged
 
 QUERIES = Catalog()
 
@@ -135,18 +137,82 @@ def _(t):
 
 
 def suite_tables(t):
+    """Every table of the declared suite, the gold ones as the benchmark has them."""
     s = staged(t)
+    bronze = {name: getattr(t, name) for name in SILVER}
     return {
-        "crm_cust_info": t.crm_cust_info,
-        "crm_sales_details": t.crm_sales_details,
+        **bronze,
         "stg_crm_cust_info": s["customers"],
+        "stg_crm_prd_info": s["products"],
         "stg_crm_sales_details": s["sales"],
+        "stg_erp_cust_az12": s["demographics"],
+        "stg_erp_loc_a101": s["locations"],
+        "stg_erp_px_cat_g1v2": s["categories"],
         "fct_sales": t.fct_sales,
         "dim_customers": t.dim_customers,
+        "dim_products": t.dim_products,
+        "product_360": product_360(t.fct_sales, t.dim_products, TIERS),
     }
 
 
-def suite_checks():
+# The same tables in SQL; the load stamp is never NULL.
+SUITE_RELATIONS = {
+    "stg_crm_cust_info": "stg_customer",
+    "stg_crm_prd_info": "(SELECT *, 1 AS ingested_at FROM stg_product)",
+    "stg_crm_sales_details": "stg_sales",
+    "stg_erp_cust_az12": "stg_demographics",
+    "stg_erp_loc_a101": "stg_location",
+    "stg_erp_px_cat_g1v2": "stg_category",
+    "product_360": "(SELECT DISTINCT product_key FROM fct_sales JOIN dim_products USING (product_key))",
+}
+
+
+def check_sql(check: quality.Check) -> str:
+    """Failing count of a declared check, from its rule and terms alone."""
+    table = SUITE_RELATIONS.get(check.table, check.table)
+    column, terms = check.column, check.terms
+    if check.rule == "unique":
+        groups = f"SELECT {column} FROM {table} WHERE {column} IS NOT NULL GROUP BY 1 HAVING count(*) > 1"
+        count = f"SELECT count(*) FROM ({groups})"
+    elif check.rule == "relationships":
+        parent = SUITE_RELATIONS.get(check.parent, check.parent)
+        known = f"SELECT {check.parent_column} AS k FROM {parent}"
+        count = (
+            f"SELECT count(*) FROM {table} AS child ANTI JOIN ({known}) AS parent ON child.{column} = k"
+            f" WHERE child.{column} IS NOT NULL"
+        )
+    else:
+        where = {
+            "not_null": lambda: f"{column} IS NULL",
+            "accepted_values": lambda: f"{column} NOT IN ({', '.join(repr(v) for v in terms)})",
+            "expression_is_true": lambda: f"NOT ({column} {terms[0]})",
+            "is_clean_trimmed": lambda: f"{column} <> trim({column}) OR {column} LIKE '%  %'",
+            "is_date_before": lambda: f"{column} >= {terms[0]}",
+            "is_date_before_columns": lambda: " OR ".join(f"{column} >= {other}" for other in terms),
+        }[check.rule]()
+        count = f"SELECT count(*) FROM {table} WHERE {where}"
+    return (
+        f"SELECT '{check.name}' AS node_name, '{check.table}' AS target_table,"
+        f" '{column}' AS column_name, '{check.severity}' AS severity, ({count}) AS failures"
+    )
+
+
+def suite_sql(checks: list[quality.Check]) -> str:
+    counts = "\nUNION ALL ".join(check_sql(c) for c in checks)
+    return f"""{SILVER_CTES}
+SELECT 'suite-1' AS execution_id, '2026-01-01 00:00:00' AS run_timestamp, 'test' AS resource_type,
+       node_name, target_table, column_name,
+       CASE WHEN failures = 0 THEN 'pass' WHEN severity = 'warn' THEN 'warn' ELSE 'fail' END
+           AS status,
+       failures AS rows_affected,
+       CASE WHEN failures > 0
+            THEN concat('Got ', cast(failures AS varchar), ' results, expected 0') END
+           AS error_message
+FROM ({counts})"""
+
+
+def few_checks():
+    """A suite of one's own beside the declared one."""
     return [
         quality.not_null("crm_cust_info", "cst_id", "warn"),
         quality.clean_trimmed("crm_cust_info", "cst_key", "warn"),
@@ -164,118 +230,27 @@ def suite_checks():
     ]
 
 
-def _line(rule, table, column, severity, count):
-    return (
-        f"SELECT '{rule}_{table}_{column}' AS node_name, '{table}' AS target_table,"
-        f" '{column}' AS column_name, '{severity}' AS severity, ({count}) AS failures"
-    )
+def suite_logs(t, checks):
+    logs = quality.run_suite(suite_tables(t), checks, "suite-1", "2026-01-01")
+    return logs.drop("execution_time_seconds")
 
 
-SUITE_SQL = "\nUNION ALL ".join(
-    _line(*row)
-    for row in [
-        (
-            "not_null",
-            "crm_cust_info",
-            "cst_id",
-            "warn",
-            "SELECT count(*) FROM crm_cust_info WHERE cst_id IS NULL",
-        ),
-        (
-            "is_clean_trimmed",
-            "crm_cust_info",
-            "cst_key",
-            "warn",
-            "SELECT count(*) FROM crm_cust_info WHERE cst_key != trim(cst_key)"
-            " OR cst_key LIKE '%  %'",
-        ),
-        (
-            "expression_is_true",
-            "crm_sales_details",
-            "sls_sales",
-            "warn",
-            "SELECT count(*) FROM crm_sales_details WHERE NOT sls_sales > 0",
-        ),
-        (
-            "unique",
-            "stg_crm_cust_info",
-            "cst_id",
-            "error",
-            "SELECT count(*) FROM (SELECT 1 FROM stg_customer GROUP BY cst_id HAVING count(*) > 1)",
-        ),
-        (
-            "accepted_values",
-            "stg_crm_cust_info",
-            "cst_gndr",
-            "error",
-            "SELECT count(*) FROM stg_customer WHERE cst_gndr NOT IN ('Male', 'Female')",
-        ),
-        (
-            "not_null",
-            "stg_crm_cust_info",
-            "cst_lastname",
-            "error",
-            "SELECT count(*) FROM stg_customer WHERE cst_lastname IS NULL",
-        ),
-        (
-            "expression_is_true",
-            "stg_crm_sales_details",
-            "sls_quantity",
-            "error",
-            "SELECT count(*) FROM stg_sales WHERE NOT sls_quantity > 0",
-        ),
-        (
-            "is_date_before_columns",
-            "stg_crm_sales_details",
-            "sls_order_dt",
-            "error",
-            "SELECT count(*) FROM stg_sales WHERE sls_order_dt >= sls_ship_dt"
-            " OR sls_order_dt >= sls_due_dt",
-        ),
-        (
-            "unique",
-            "fct_sales",
-            "sales_item_key",
-            "error",
-            "SELECT count(*) FROM (SELECT 1 FROM fct_sales GROUP BY sales_item_key"
-            " HAVING count(*) > 1)",
-        ),
-        (
-            "not_null",
-            "fct_sales",
-            "customer_key",
-            "error",
-            "SELECT count(*) FROM fct_sales WHERE customer_key IS NULL",
-        ),
-        (
-            "relationships",
-            "fct_sales",
-            "customer_key",
-            "error",
-            "SELECT count(*) FROM fct_sales WHERE customer_key IS NOT NULL"
-            " AND customer_key NOT IN (SELECT customer_key FROM dim_customers)",
-        ),
-    ]
-)
+@QUERIES.add("q10_run_suite", suite_sql(few_checks()), (*SILVER, *GOLD))
+def _(t):
+    return suite_logs(t, few_checks())
+
+
+# Both engines read a day written as a date.
+DECLARED_DAY = "date '2026-01-01'"
 
 
 @QUERIES.add(
-    "q10_run_suite",
-    f"""{SILVER_CTES}
-SELECT 'suite-1' AS execution_id, '2026-01-01 00:00:00' AS run_timestamp, 'test' AS resource_type,
-       node_name, target_table, column_name,
-       CASE WHEN failures = 0 THEN 'pass' WHEN severity = 'warn' THEN 'warn' ELSE 'fail' END
-           AS status,
-       failures AS rows_affected,
-       CASE WHEN failures > 0
-            THEN concat('Got ', cast(failures AS varchar), ' results, expected 0') END
-           AS error_message
-FROM ({SUITE_SQL})""",
+    "q10_declared_suite",
+    suite_sql([*bronze_checks(DECLARED_DAY), *silver_checks(DECLARED_DAY), *gold_checks()]),
     (*SILVER, *GOLD),
 )
 def _(t):
-    logs = quality.run_suite(suite_tables(t), suite_checks(), "suite-1", "2026-01-01")
-    return logs.drop("execution_time_seconds")
+    return suite_logs(t, all_checks("2026-01-01"))
 
 
 def shipped_fact(t):

@@ -44,6 +44,38 @@ def test_row_rules_of_a_table_share_one_pass(frame):
     assert plan.count("LogicalRDD") == 1
 
 
+def test_stored_tables_are_scanned_once(spark, frame, tmp_path):
+    """All rules of a table, and of those that refer to it, come from one scan and one grouping."""
+    frame([(1, "x"), (2, "y"), (2, None)], "id int, name string").write.parquet(str(tmp_path / "t"))
+    frame([(1, 1), (7, 2), (7, 2), (None, 3)], "t_id int, n int").write.parquet(str(tmp_path / "u"))
+    tables = {name: spark.read.parquet(str(tmp_path / name)) for name in "tu"}
+    checks = [
+        *[q.not_null("t", c) for c in ("id", "name")],
+        *[q.unique("t", c) for c in ("id", "name")],
+        q.unique("u", "t_id"),
+        q.relationships("u", "t_id", "t", "id"),
+        q.relationships("t", "id", "u", "n"),
+    ]
+    failures = q.suite_failures(tables, checks)
+    plan = failures._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 2
+    assert dict(rows(failures, "node_name", "failures")) == {
+        "not_null_t_id": 0,
+        "not_null_t_name": 1,
+        "unique_t_id": 1,
+        "unique_t_name": 0,
+        "unique_u_t_id": 1,
+        "relationships_u_t_id": 2,
+        "relationships_t_id": 0,
+    }
+
+
+def test_a_table_may_be_empty(frame):
+    empty = frame([], "id int, name string")
+    checks = [q.not_null("t", "id"), q.unique("t", "id"), q.relationships("t", "id", "t", "id")]
+    assert rows(q.suite_failures({"t": empty}, checks), "failures") == [(0,)] * 3
+
+
 def test_suite_grades_by_severity(frame):
     df = frame([(None, "x"), (1, "x")], "id int, name string")
     checks = [
