@@ -18,7 +18,7 @@ from martwright.functions.columns import (
     years_between_boundaries,
 )
 from martwright.operators.gold import segment
-from martwright.operators.ranking import global_rank, top_k
+from martwright.operators.ranking import ascending, descending, global_rank, top_k
 
 MIN_DATE = "2010-01-01"
 MIN_YEAR = 2010
@@ -137,13 +137,8 @@ def _customer_revenue(fact: DataFrame, customers: DataFrame, *columns: str) -> D
 
 def rank_customers_revenue(fact: DataFrame, customers: DataFrame) -> DataFrame:
     revenue = _customer_revenue(fact, customers, "customer_id", "first_name", "last_name")
-    order = [
-        F.desc_nulls_last("total_revenue"),
-        F.asc_nulls_last("customer_id"),
-        F.asc_nulls_last("first_name"),
-        F.asc_nulls_last("last_name"),
-    ]
-    return global_rank(revenue, order, "rank")
+    names = [key for c in ("customer_id", "first_name", "last_name") for key in ascending(c)]
+    return global_rank(revenue, [*descending("total_revenue"), *names], "rank")
 
 
 def units_by_country(fact: DataFrame, customers: DataFrame) -> DataFrame:
@@ -271,8 +266,8 @@ def rank_products(fact: DataFrame, products: DataFrame, desc: bool = True) -> Da
         .groupBy("product_name")
         .agg(F.sum("revenue").alias("total_revenue"))
     )
-    first = F.desc_nulls_last("total_revenue") if desc else F.asc_nulls_last("total_revenue")
-    return global_rank(revenue, [first, F.asc_nulls_last("product_name")], "product_rank")
+    first = (descending if desc else ascending)("total_revenue")
+    return global_rank(revenue, [*first, *ascending("product_name")], "product_rank")
 
 
 def top_customers(fact: DataFrame, customers: DataFrame, k: int = 10) -> DataFrame:
@@ -303,9 +298,8 @@ def rank_customers_orders(fact: DataFrame, customers: DataFrame) -> DataFrame:
         .groupBy(F.col("_known").alias("customer_key"), "first_name", "last_name")
         .agg(F.count_distinct("order_number").alias("total_orders"))
     )
-    return global_rank(
-        pairs, [F.col("total_orders"), F.asc_nulls_last("customer_key")], "customer_rank"
-    )
+    order = [*ascending("total_orders"), *ascending("customer_key")]
+    return global_rank(pairs, order, "customer_rank")
 
 
 def category_share(fact: DataFrame, products: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from martwright.functions.columns import (
     title_case,
     to_money,
 )
-from martwright.operators.ranking import global_rank, top_k
+from martwright.operators.ranking import exact_median, top_k
 
 # Longest span shown in weeks / days, and recency-frequency rules.
 DAILY_SPAN_DAYS = 60
@@ -481,21 +481,21 @@ def customer_kpis(df: DataFrame, start, end) -> DataFrame:
 
 def customer_detail(df: DataFrame) -> DataFrame:
     """Single-order and repeat customers, largest and exact median spend, order volume."""
-    ranked = global_rank(
-        _per_customer(df), [F.col("total_spend"), F.col("customer_key")], "_rank"
-    )
-    size = ranked.agg(F.count(F.lit(1)).alias("_n")).scalar()
-    twice = F.col("_rank") * 2
-    rows = F.count(F.lit(1))
-    return ranked.agg(
+    customers = _per_customer(df)
+    found = customers.agg(
         F.count_if(F.col("total_orders") == 1).alias("single_order_customers"),
         F.count_if(F.col("total_orders") > 1).alias("repeat_customers"),
         F.max("total_spend").alias("max_spend"),
-        F.avg(F.when((twice >= size) & (twice <= size + 2), F.col("total_spend"))).alias(
-            "median_spend"
-        ),
         F.sum("total_orders").alias("total_orders"),
-        safe_divide(F.sum("total_units"), rows).alias("units_per_customer"),
+        safe_divide(F.sum("total_units"), F.count(F.lit(1))).alias("units_per_customer"),
+    )
+    return found.select(
+        "single_order_customers",
+        "repeat_customers",
+        "max_spend",
+        exact_median(customers, "total_spend").scalar().alias("median_spend"),
+        "total_orders",
+        "units_per_customer",
     )
 
 

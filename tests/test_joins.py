@@ -1,16 +1,29 @@
 """Skewed joins, pushdown and distributed ranks."""
 
 import random
+import statistics
+import struct
 from contextlib import contextmanager
+from pathlib import Path
 
+import pytest
 from conftest import row_set, rows
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from martwright.operators import kpis
 from martwright.operators.joins import orphans
-from martwright.operators.ranking import exact_median, global_rank, top_k
+from martwright.operators.ranking import (
+    ascending,
+    descending,
+    exact_median,
+    global_rank,
+    ordered_bits,
+    restored,
+    top_k,
+)
 from martwright.registry import Tables
+from martwright.session import shared_dir
 from martwright.sources.star import merged_sales
 
 
@@ -89,22 +102,63 @@ def test_orphans_counts_rows_per_missing_key(frame):
     assert rows(orphans(child, "k", parent, "p")) == [("b", 2)]
 
 
-def test_global_rank_equals_window_rank(frame):
-    df = skewed(frame).withColumn("id", F.monotonically_increasing_id())
-    order = [F.desc("v"), F.col("id")]
-    expected = df.select("id", F.row_number().over(Window.orderBy(*order)).alias("n"))
-    assert row_set(global_rank(df, order, "n"), "id", "n") == row_set(expected)
+def jobs_of(spark):
+    return spark.sparkContext.statusTracker().getJobIdsForGroup(None)
 
 
-def test_global_rank_of_nothing(frame):
-    empty = frame([], "a int")
-    assert rows(global_rank(empty, [F.col("a")], "n")) == []
+@pytest.mark.parametrize("ranges, sample", [(128, 8192), (16, 40), (2, 1)])
+def test_global_rank_equals_window_rank(spark, frame, tmp_path, ranges, sample):
+    df = skewed(frame).withColumn("id", F.xxhash64("key", "v")).distinct()
+    df = df.withColumn("v", F.when(F.col("v") % 5 != 0, F.col("v")))
+    jobs, scratch = len(jobs_of(spark)), sorted(Path(shared_dir(spark).removeprefix("file:")).iterdir())
+    ranked = global_rank(df, [*descending("v"), *ascending("id")], "n", ranges, sample)
+    assert len(jobs_of(spark)) == jobs
+    window = Window.orderBy(F.desc_nulls_last("v"), F.col("id"))
+    expected = df.select("id", F.row_number().over(window).cast("long").alias("n"))
+    assert row_set(ranked, "id", "n") == row_set(expected)
+    assert sorted(Path(shared_dir(spark).removeprefix("file:")).iterdir()) == scratch
 
 
-def test_exact_median_odd_even_and_nulls(frame):
-    for values, expected in (([3, 1, 2], 2.0), ([4, 1, 2, 3], 2.5), ([5, None], 5.0), ([], None)):
+def test_global_rank_of_nothing(frame):
+    empty = frame([], "a int")
+    assert rows(global_rank(empty, ascending("a"), "n")) == []
+
+
+def test_ordered_bits_order_like_the_values(frame):
+    pick = random.Random(6)
+    values = [0.0, -0.0, 1.0, -1.0, 5e-324, -5e-324, 2.0**-1022, 2.0**1023, 1.7976931348623157e308, float("inf")]
+    values += [2.0**i * (1 + s * 2.0**-52) for i in range(-1000, 1000, 37) for s in (0, 1, 2)]
+    values += [2.0**i * (2 - 2.0**-52) for i in range(-1000, 1000, 41)]
+    values += [struct.unpack("<d", struct.pack("<Q", pick.getrandbits(63) % (0x7FF << 52)))[0] for _ in range(300)]
+    values += [-v for v in values]
+    df = frame([(v,) for v in values], "v double").withColumn("bits", ordered_bits(F.col("v")))
+    found = df.select("v", "bits", restored(F.col("bits")).alias("back")).collect()
+    assert all(r.v == r.back for r in found)
+    unsigned = sorted((r.bits % (1 << 64), r.v) for r in found)
+    assert [v for _, v in unsigned] == sorted(values)
+    assert len({b for b, _ in unsigned}) == len(set(values))
+
+
+def test_exact_median_odd_even_and_nulls(spark, frame):
+    many = [float(i % 7) for i in range(50)]
+    spread = [(-1.0) ** i * 1.1**i for i in range(400)]
+    for values, expected in (
+        ([3, 1, 2], 2.0),
+        ([4, 1, 2, 3], 2.5),
+        ([5, None], 5.0),
+        ([], None),
+        ([None, None], None),
+        ([1, 1, 1, 9], 1.0),
+        ([-2, -1, 1, 1], 0.0),
+        ([0.1, 0.1 + 2**-55, 0.1 + 2**-54], 0.1 + 2**-55),
+        (many, statistics.median(many)),
+        (spread, statistics.median(spread)),
+    ):
         df = frame([(None if v is None else float(v),) for v in values], "v double")
-        assert rows(exact_median(df, "v")) == [(expected,)]
+        jobs = len(jobs_of(spark))
+        median = exact_median(df, "v")
+        assert len(jobs_of(spark)) == jobs
+        assert rows(median) == [(expected,)]
 
 
 def test_top_k_numbers_rows(frame):
