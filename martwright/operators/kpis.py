@@ -372,7 +372,7 @@ EXTRA_ALIASES = [
 
 
 def revenue_by_iso3(df: DataFrame, alias_df: DataFrame) -> DataFrame:
-    """Revenue per country code; what no alias covers stays as one flagged row.
+    """Revenue per country code, largest first; what no alias covers stays as one flagged row.
 
     ``alias_df`` holds (alias, iso3, name), aliases in lower case. The frame is
     summed per raw country text first, so the alias join sees distinct names only.
@@ -394,6 +394,7 @@ def revenue_by_iso3(df: DataFrame, alias_df: DataFrame) -> DataFrame:
             F.coalesce(F.sum("revenue"), F.lit(0.0)).alias("revenue"),
         )
         .withColumn("unknown", F.col("iso3").isNull())
+        .orderBy(F.desc("revenue"), F.asc_nulls_last("iso3"))
     )
 
 

@@ -215,12 +215,12 @@ def node_targets(nodes: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def execution_logs(
-    results: DataFrame, nodes: DataFrame, sources: DataFrame, ordered: bool = True
+    results: DataFrame, nodes: DataFrame, sources: DataFrame, ordered: bool = False
 ) -> DataFrame:
     """Result rows → execution logs, tables and columns resolved through the manifest.
 
     Targets are resolved once per node; the results, which grow with every run,
-    are joined a single time.
+    are joined a single time. ``ordered`` sorts them all, newest first.
     """
     joined = results.join(node_targets(nodes, sources), "unique_id", "left").withColumns(
         _node_fields()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ from martwright.plans.suites import all_checks
 from martwright.plans.telemetry_export import store_sections, stored_loads, telemetry_sections
 from martwright.session import cut_lineage
 from martwright.sources import tables
+from martwright.sources.files import read_table
 
 # Dashboards filter the fact by order date.
 GOLD_ORDER = {"fct_sales": ["order_date"]}
@@ -112,15 +115,18 @@ def suite_results(logs: DataFrame) -> DataFrame:
     )
 
 
-def build_warehouse(spark: SparkSession, source: str, out: str, run_id: str, as_of) -> dict:
+def build_warehouse(
+    spark: SparkSession, source: str, out: str, run_id: str, as_of, unbroken: Collection[str] = ()
+) -> dict:
     """Load, clean, model, test and record one run.
 
+    ``unbroken`` names the bronze tables whose CSV files may be split over tasks.
     Silver is a set of views over rows stored for the session; bronze, gold and the telemetry
     sections are stored under ``out``. Returns every frame by layer plus the load log.
     """
-    load_log = tables.load_bronze(spark, source, f"{out}/bronze")
+    load_log = tables.load_bronze(spark, source, f"{out}/bronze", unbroken=unbroken)
     bronze = {
-        name: spark.read.schema(schema).parquet(f"{out}/bronze/{name}")
+        name: read_table(spark, f"{out}/bronze/{name}", schema)
         for name, (_, schema) in schemas.BRONZE.items()
     }
     day = None if as_of is None else F.to_date(as_stamp(as_of))

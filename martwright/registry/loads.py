@@ -18,7 +18,15 @@ from martwright.plans.telemetry_export import store_sections, stored_loads, tele
 from martwright.registry import GOLD, Catalog, r, rounded
 from martwright.registry.silver import SILVER
 from martwright.registry.star import TIERS
-from martwright.registry.telemetry import HEALTH_SQL, NODES, nodes
+from martwright.registry.telemetry import (
+    AGED_SQL,
+    COVERAGE_CTES,
+    EXECUTION_SQL,
+    EXECUTION_TABLES,
+    HEALTH_SQL,
+    NODES,
+    nodes,
+)
 from martwright.session import scratch_path
 from martwright.sources import files, tables
 
@@ -121,7 +129,9 @@ def _(t):
     SILVER,
 )
 def _(t):
-    log = tables.load_bronze(t.spark, landing(t), scratch_path(t.spark, "bronze"))
+    # The shapes hold no line breaks: their files may be split.
+    out = scratch_path(t.spark, "bronze")
+    log = tables.load_bronze(t.spark, landing(t), out, unbroken=SILVER)
     return log.select(
         "table_name",
         "source_rows",
@@ -142,7 +152,7 @@ def _(t):
     padded = t.part.toDF(*[f" {c.upper()} " for c in t.part.columns])
     write_csv(padded, f"{root}/extra/Part.csv")
     found = [
-        files.normalize_columns(files.scan_csv_text(t.spark, path))
+        files.normalize_columns(files.scan_csv_text(t.spark, path, quoted_breaks=False))
         .agg(F.count(F.lit(1)).alias("row_count"))
         .select(F.lit(table).alias("table_name"), "row_count")
         for path, table in files.discover_csvs(t.spark, root)
@@ -159,7 +169,7 @@ def _(t):
     frame = t.supplier.select("s_suppkey", "s_name", "s_acctbal")
     for _ in range(2):
         tables.refresh_table(frame, path)
-    return t.spark.read.parquet(path)
+    return files.read_table(t.spark, path)
 
 
 @QUERIES.add("s06_refresh_table_failed", "SELECT s_suppkey, s_name, s_acctbal FROM supplier")
@@ -171,7 +181,7 @@ def _(t):
     try:
         tables.refresh_table(broken, path)
     except SparkRuntimeException:
-        return t.spark.read.parquet(path)
+        return files.read_table(t.spark, path)
     raise AssertionError("the second refresh must fail")
 
 
@@ -282,12 +292,11 @@ def _(t):
     out = scratch_path(t.spark, "telemetry")
     for _ in range(2):
         tables.write_telemetry({"ingestion_logs": t.ingestion_logs}, out)
-    return t.spark.read.parquet(f"{out}/ingestion_logs").select(*schemas.INGESTION_LOGS.names)
+    return files.read_table(t.spark, f"{out}/ingestion_logs").select(*schemas.INGESTION_LOGS.names)
 
 
-@QUERIES.add("s15_write_telemetry_sections", HEALTH_SQL, (*NODES, "test_results"))
-def _(t):
-    # All sections of a run are composed and stored; the summary is read back.
+def stored_section(t, name: str) -> DataFrame:
+    """All sections of a run are composed and stored; one is read back."""
     out = scratch_path(t.spark, "telemetry")
     sections = telemetry_sections(
         t.test_results,
@@ -297,7 +306,47 @@ def _(t):
         t.ingestion_logs,
         "2024-02-05 07:31:10",
     )
-    return store_sections(t.spark, sections, out)["summary"]
+    return store_sections(t.spark, sections, out)[name]
+
+
+MODEL_SECTION = "model_name, schema, total_columns, columns_with_tests, column_coverage_pct, total_tests"
+COLUMN_SECTION = (
+    "model_name, schema, column_name, column_description, data_type, test_count, test_names, has_tests"
+)
+# Of loads of one target at one time the smallest log_id stays.
+HISTORY_SQL = f"""
+SELECT * FROM ({SECTION_SQL})
+QUALIFY row_number() OVER (PARTITION BY run_timestamp, target_table ORDER BY log_id) = 1"""
+
+
+@QUERIES.add("s15_write_telemetry_sections", HEALTH_SQL, (*NODES, "test_results"))
+def _(t):
+    return stored_section(t, "summary")
+
+
+@QUERIES.add("s15_section_execution_logs", EXECUTION_SQL, EXECUTION_TABLES)
+def _(t):
+    return stored_section(t, "execution_logs")
+
+
+@QUERIES.add("s15_section_model_coverage", COVERAGE_CTES + f"SELECT {MODEL_SECTION} FROM mc", NODES)
+def _(t):
+    return stored_section(t, "model_coverage")
+
+
+@QUERIES.add("s15_section_column_coverage", COVERAGE_CTES + f"SELECT {COLUMN_SECTION} FROM cc", NODES)
+def _(t):
+    return stored_section(t, "column_coverage")
+
+
+@QUERIES.add("s15_section_source_freshness", AGED_SQL, ("ingestion_logs",))
+def _(t):
+    return stored_section(t, "source_freshness")
+
+
+@QUERIES.add("s15_section_ingestion_logs", HISTORY_SQL, ("ingestion_logs",))
+def _(t):
+    return stored_section(t, "ingestion_logs")
 
 
 @QUERIES.add(
@@ -392,8 +441,8 @@ def _(t):
 )
 def _(t):
     root, out = landing(t), scratch_path(t.spark, "bronze")
-    tables.append_csvs(t.spark, root, out)
-    log = tables.append_csvs(t.spark, root, out)
+    tables.append_csvs(t.spark, root, out, SILVER)
+    log = tables.append_csvs(t.spark, root, out, SILVER)
     stored = [
         t.spark.read.parquet(f"{out}/{name}")
         .agg(F.count(F.lit(1)).alias("stored"))

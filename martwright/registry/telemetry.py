@@ -9,6 +9,7 @@ from martwright.functions.redaction import mask_map, redact_text
 from martwright.operators import telemetry
 from martwright.registry import Catalog, r
 from martwright.session import scratch_path
+from martwright.sources.files import read_table
 from martwright.sources.tables import refresh_table
 
 QUERIES = Catalog()
@@ -93,9 +94,7 @@ SOURCE_REL = (
 MODEL_REL = "concat(m.schema, '.', coalesce(m.alias, m.name))"
 
 
-@QUERIES.add(
-    "t02_execution_logs",
-    f"""
+EXECUTION_SQL = f"""
 SELECT x.invocation_id AS execution_id, '1999-01-01 00:00:23' AS run_timestamp,
        split_part(x.unique_id, '.', 1) AS resource_type, split_part(x.unique_id, '.', 3) AS node_name,
        CASE WHEN own.unique_id IS NOT NULL THEN concat(own.schema, '.', coalesce(own.alias, own.name))
@@ -115,9 +114,11 @@ LEFT JOIN node_tests n ON x.unique_id = n.unique_id
 LEFT JOIN node_models m ON n.attached_node = m.unique_id
 LEFT JOIN node_sources a ON n.attached_node = a.unique_id
 LEFT JOIN node_sources s ON n.attached_node IS NULL
-     AND s.name = regexp_extract(n.test_model, 'source\\(''([^'']+)'',\\s*''([^'']+)''\\)', 2)""",
-    ("test_results", "node_models", "node_tests", "node_sources"),
-)
+     AND s.name = regexp_extract(n.test_model, 'source\\(''([^'']+)'',\\s*''([^'']+)''\\)', 2)"""
+EXECUTION_TABLES = ("test_results", "node_models", "node_tests", "node_sources")
+
+
+@QUERIES.add("t02_execution_logs", EXECUTION_SQL, EXECUTION_TABLES)
 def _(t):
     return telemetry.execution_logs(t.test_results, nodes(t), t.node_sources)
 
@@ -405,7 +406,7 @@ def _(t):
     path = scratch_path(t.spark, "history")
     for old, new in ((empty, loads), (loads, empty)):
         refresh_table(telemetry.merge_history(old, new), path)
-    return telemetry.source_freshness(t.spark.read.parquet(path))
+    return telemetry.source_freshness(read_table(t.spark, path))
 
 
 AGED_SQL = f"""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,22 +78,75 @@ def remove_path(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
-def replace_path(spark: SparkSession, new: str, path: str) -> None:
-    """Switch a directory for a complete one beside it; the old one goes last."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path
-    system = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    old = hadoop(f"{new}__old")
-    had_old = system.exists(hadoop(path))
-    if had_old and not system.rename(hadoop(path), old):
-        raise OSError(f"cannot set aside {path}")
-    if not system.exists(hadoop(path).getParent()):
-        system.mkdirs(hadoop(path).getParent())
-    if not system.rename(hadoop(new), hadoop(path)):
-        if had_old:
-            system.rename(old, hadoop(path))
-        raise OSError(f"cannot put {new} in place of {path}")
-    if had_old:
-        system.delete(old, True)
+# A refreshed table is a folder of version folders and a marker that names the current one.
+MARKER = "_current"
+_VERSION = "v_"
+
+
+def _system(spark: SparkSession, path: str):
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop, hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def current_version(spark: SparkSession, path: str) -> str | None:
+    """Name of the version folder that readers use; None for a plain folder."""
+    marker, system = _system(spark, f"{path}/{MARKER}")
+    if not system.exists(marker):
+        return None
+    stream = system.open(marker)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").strip()
+    finally:
+        stream.close()
+
+
+def table_path(spark: SparkSession, path: str) -> str:
+    """Folder that holds the rows of a table now: its current version, or the path itself."""
+    version = current_version(spark, path)
+    return f"{path}/{version}" if version else path
+
+
+def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+    """Current rows of a table, whether it is refreshed by versions or a plain folder."""
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    return reader.parquet(table_path(spark, path))
+
+
+def new_version(path: str) -> str:
+    return f"{path.rstrip('/')}/{_VERSION}{uuid.uuid4().hex}"
+
+
+def switch_version(spark: SparkSession, path: str, version: str) -> None:
+    """Make a complete version the current one, by replacing the marker in one step.
+
+    Until then readers find the version before; the new marker is written beside the old one
+    and renamed over it.
+    """
+    name = version.rsplit("/", 1)[-1]
+    beside, system = _system(spark, f"{path}/{MARKER}.{name}")
+    stream = system.create(beside, True)
+    stream.write(bytearray(name.encode()))
+    stream.close()
+    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{MARKER}")
+    # The kind of rename that may replace a file belongs to the other file API.
+    context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(
+        system.makeQualified(marker).toUri(), spark._jsc.hadoopConfiguration()
+    )
+    kind = getattr(spark._jvm.org.apache.hadoop.fs, "Options$Rename")
+    options = spark.sparkContext._gateway.new_array(kind, 1)
+    options[0] = kind.OVERWRITE
+    context.rename(system.makeQualified(beside), system.makeQualified(marker), options)
+
+
+def drop_other_versions(spark: SparkSession, path: str, keep: set[str | None]) -> None:
+    """Remove what no reader needs: other versions, markers never switched to, and old plain rows."""
+    if not path_exists(spark, path):
+        return
+    for name, full, _ in list_dir(spark, path):
+        stray = name.startswith(f"{MARKER}.")
+        plain = not name.startswith(("_", ".", _VERSION)) and None not in keep
+        if stray or plain or (name.startswith(_VERSION) and name not in keep):
+            remove_path(spark, full)
 
 
 def discover_csvs(spark: SparkSession, root: str) -> list[tuple[str, str]]:
@@ -133,7 +188,7 @@ def read_section(spark: SparkSession, path: str, schema: T.StructType) -> DataFr
     if not path_exists(spark, path):
         return empty
     try:
-        found = spark.read.parquet(path)
+        found = read_table(spark, path)
     except AnalysisException:
         return empty
     known = set(found.columns)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import time
-import uuid
+from collections.abc import Collection
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -13,13 +13,18 @@ from pyspark.sql import types as T
 from martwright import schemas
 from martwright.functions.columns import as_stamp
 from martwright.sources.files import (
+    current_version,
     discover_csvs,
+    drop_other_versions,
     load_bronze_table,
+    new_version,
     normalize_columns,
     path_exists,
+    read_table,
     remove_path,
-    replace_path,
     scan_csv_text,
+    switch_version,
+    table_path,
 )
 
 LOAD_LOG = schemas.table(
@@ -40,23 +45,32 @@ def checked_name(name: str) -> str:
 
 def stored_rows(spark: SparkSession, path: str) -> int:
     """Rows of a Parquet directory; answered from the file footers."""
-    return spark.read.parquet(path).count() if path_exists(spark, path) else 0
+    return read_table(spark, path).count() if path_exists(spark, path) else 0
 
 
 def refresh_table(df: DataFrame, path: str) -> int:
-    """Replace the target, so that a re-run does not duplicate rows.
+    """Replace the rows of a table, so that a re-run does not duplicate them.
 
-    Rows are written beside the target, which is switched only when they are complete: a
-    failed refresh leaves the old rows, and the new ones may be computed from the old.
+    Rows are written as a version folder of their own; then the marker that names the current
+    version is replaced in one step. Whenever a refresh stops, ``read_table`` finds all old or all
+    new rows, and the next refresh removes what it left. The version before stays until then,
+    for readers that have begun with it; so the new rows may be computed from the old. One
+    refresh of a table runs at a time.
     """
-    staged = f"{path.rstrip('/')}__new_{uuid.uuid4().hex}"
+    spark, before = df.sparkSession, None
+    if path_exists(spark, path):
+        before = current_version(spark, path)
+        drop_other_versions(spark, path, {before})
+    version = new_version(path)
     try:
-        df.write.parquet(staged)
+        df.write.parquet(version)
     except Exception:
-        remove_path(df.sparkSession, staged)
+        remove_path(spark, version)
         raise
-    replace_path(df.sparkSession, staged, path)
-    return stored_rows(df.sparkSession, path)
+    switch_version(spark, path, version)
+    if before is not None:
+        drop_other_versions(spark, path, {before, current_version(spark, path)})
+    return stored_rows(spark, path)
 
 
 def append_rows(df: DataFrame, path: str) -> int:
@@ -68,31 +82,46 @@ def append_rows(df: DataFrame, path: str) -> int:
     if df.isEmpty():
         return 0
     written = Observation()
-    df.observe(written, F.count(F.lit(1)).alias("rows")).write.mode("append").parquet(path)
+    df.observe(written, F.count(F.lit(1)).alias("rows")).write.mode("append").parquet(
+        table_path(df.sparkSession, path)
+    )
     return written.get["rows"]
 
 
-def load_table(spark: SparkSession, path: str, schema: T.StructType, out: str) -> tuple[int, int]:
+def load_table(
+    spark: SparkSession, path: str, schema: T.StructType, out: str, quoted_breaks: bool = True
+) -> tuple[int, int]:
     """Load one file over a table: rows of its text scan, and rows the table then holds.
 
-    A value that does not fit its type fails the load and leaves the table as it was.
+    A value that does not fit its type fails the load and leaves the table as it was. Without
+    ``quoted_breaks`` a large file is read by several tasks.
     """
     if not path_exists(spark, path):
         raise FileNotFoundError(f"no source file at {path}")
     # Scan and write form one narrow stage, so each row is observed once.
     scanned = Observation()
-    text = scan_csv_text(spark, path).observe(scanned, F.count(F.lit(1)).alias("rows"))
+    text = scan_csv_text(spark, path, quoted_breaks).observe(scanned, F.count(F.lit(1)).alias("rows"))
     held = refresh_table(load_bronze_table(text, schema), out)
     return scanned.get["rows"], held
 
 
-def load_bronze(spark: SparkSession, source: str, target: str, tables: dict | None = None) -> DataFrame:
-    """Load every source file; a failing table is recorded and the others go on."""
+def load_bronze(
+    spark: SparkSession,
+    source: str,
+    target: str,
+    tables: dict | None = None,
+    unbroken: Collection[str] = (),
+) -> DataFrame:
+    """Load every source file; a failing table is recorded and the others go on.
+
+    ``unbroken`` names the tables whose files hold no line break inside a quoted field.
+    """
     outcomes = []
     for name, (file, schema) in (tables or schemas.BRONZE).items():
         began, rows, problem = time.perf_counter(), (0, 0), None
         try:
-            rows = load_table(spark, f"{source}/{file}", schema, f"{target}/{checked_name(name)}")
+            out = f"{target}/{checked_name(name)}"
+            rows = load_table(spark, f"{source}/{file}", schema, out, name not in unbroken)
         except Exception as error:  # noqa: BLE001 - one table must not stop the batch
             problem = str(error).splitlines()[0]
         seconds = round(time.perf_counter() - began, 4)
@@ -106,11 +135,13 @@ def load_failed(log: DataFrame) -> bool:
     return not log.filter(F.col("status") != "success").isEmpty()
 
 
-def append_csvs(spark: SparkSession, root: str, out: str) -> DataFrame:
-    """Append every discovered CSV, headers stripped, to its table."""
+def append_csvs(
+    spark: SparkSession, root: str, out: str, unbroken: Collection[str] = ()
+) -> DataFrame:
+    """Append every discovered CSV, headers stripped, to its table; ``unbroken`` as in ``load_bronze``."""
     rows = []
     for path, table in discover_csvs(spark, root):
-        frame = normalize_columns(scan_csv_text(spark, path))
+        frame = normalize_columns(scan_csv_text(spark, path, table not in unbroken))
         rows.append((checked_name(table), append_rows(frame, f"{out}/{table}"), "success", None))
     return spark.createDataFrame(rows, COPY_LOG)
 
@@ -123,7 +154,7 @@ def replicate_tables(spark: SparkSession, source: str, target: str, tables: list
             checked_name(name)
             if not path_exists(spark, f"{source}/{name}"):
                 raise FileNotFoundError(f"no such table: {name}")
-            copied = refresh_table(spark.read.parquet(f"{source}/{name}"), f"{target}/{name}")
+            copied = refresh_table(read_table(spark, f"{source}/{name}"), f"{target}/{name}")
             rows.append((name, copied, "success", None))
         except Exception as error:  # noqa: BLE001
             rows.append((name, 0, "error", str(error).splitlines()[0]))
@@ -244,7 +275,7 @@ def materialize(
                 if sort and name in sort:
                     frame = frame.sortWithinPartitions(*sort[name])
                 refresh_table(frame, path)
-                result[layer][name] = frame.sparkSession.read.parquet(path)
+                result[layer][name] = read_table(frame.sparkSession, path)
     return result
 
 

@@ -119,12 +119,90 @@ def test_append_and_refresh(frame, tmp_path):
     # A failed refresh leaves the old rows, and rows may be replaced by ones made from them.
     with pytest.raises(Exception, match="bad"):
         tables.refresh_table(df.selectExpr("raise_error('bad') as a"), path)
-    old = df.sparkSession.read.parquet(path)
+    old = files.read_table(df.sparkSession, path)
     assert old.count() == 2
     assert tables.refresh_table(old.union(old), path) == 4
+    assert tables.append_rows(df, path) == 2 and tables.stored_rows(df.sparkSession, path) == 6
     assert [p.name for p in tmp_path.iterdir()] == ["t"]
 
 
+class Stopped(Exception):
+    pass
+
+
+STEPS = ["new_version", "switch_version", "current_version", "drop_other_versions", "stored_rows"]
+
+
+@pytest.mark.parametrize("when", ["before", "after"])
+@pytest.mark.parametrize("call", [1, 2])
+@pytest.mark.parametrize("step", STEPS)
+def test_a_refresh_that_stops_leaves_old_or_new_rows(spark, frame, tmp_path, monkeypatch, step, call, when):
+    """Stopped around every step, then repaired by the next refresh."""
+    path, real, calls = str(tmp_path / "t"), getattr(tables, step), []
+    for n in (1, 2):
+        tables.refresh_table(frame([(n,)] * n, "a int"), path)
+
+    def stops(*args):
+        calls.append(args)
+        if len(calls) == call and when == "before":
+            raise Stopped
+        found = real(*args)
+        if len(calls) == call:
+            raise Stopped
+        return found
+
+    monkeypatch.setattr(tables, step, stops)
+    try:
+        tables.refresh_table(frame([(3,)] * 3, "a int"), path)
+        stopped = False
+    except Stopped:
+        stopped = True
+    monkeypatch.undo()
+    held = rows(files.read_table(spark, path))
+    assert held in ([(2,)] * 2, [(3,)] * 3) and (stopped or held == [(3,)] * 3)
+    assert tables.refresh_table(frame([(4,)] * 4, "a int"), path) == 4
+    assert rows(files.read_table(spark, path)) == [(4,)] * 4
+    left = [p.name for p in (tmp_path / "t").iterdir() if not p.name.startswith(".")]
+    assert "_current" in left and len(left) == 3  # the marker, this version and the one before
+
+
+def test_a_marker_written_in_part_is_not_read(spark, frame, tmp_path):
+    path = str(tmp_path / "t")
+    tables.refresh_table(frame([(1,)], "a int"), path)
+    (tmp_path / "t" / "_current.v_half").write_text("v_ha")
+    (tmp_path / "t" / "v_half").mkdir()
+    assert rows(files.read_table(spark, path)) == [(1,)]
+    tables.refresh_table(frame([(2,)], "a int"), path)
+    assert not any("half" in p.name for p in (tmp_path / "t").iterdir())
+
+
+def test_plain_tables_become_versioned(spark, frame, tmp_path):
+    path = str(tmp_path / "t")
+    frame([(1,)], "a int").write.parquet(path)
+    assert rows(files.read_table(spark, path)) == [(1,)]
+    for n in (2, 3):
+        tables.refresh_table(files.read_table(spark, path).selectExpr("a + 1 as a"), path)
+        assert rows(files.read_table(spark, path)) == [(n,)]
+    assert not list((tmp_path / "t").glob("*.parquet"))
+
+
+def test_large_files_without_quoted_breaks_are_split(spark, tmp_path, monkeypatch):
+    lines = "".join(f"{i},name {i}\n" for i in range(20_000))
+    path = write(tmp_path / "big.csv", "a,b\n" + lines)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+    try:
+        assert files.scan_csv_text(spark, path).rdd.getNumPartitions() == 1
+        split = files.scan_csv_text(spark, path, quoted_breaks=False)
+        assert split.rdd.getNumPartitions() > 2 and split.count() == 20_000
+        schema = schemas.table("a long, b string")
+        assert tables.load_table(spark, path, schema, str(tmp_path / "out"), False) == (20_000, 20_000)
+        assert len(list((tmp_path / "out").glob("v_*/*.parquet"))) > 2
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
 def test_names_are_guarded(spark):
     for bad in ("a b", "1a", "a;drop", "../x", ""):
         with pytest.raises(ValueError):
