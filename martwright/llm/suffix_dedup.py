@@ -22,8 +22,8 @@ from martwright.llm.suffix_sort import Buffer
 LENGTH = 200
 # Bytes hashed at each position; every string of LENGTH bytes holds LENGTH - GRAM + 1 of them.
 GRAM = 48
-# Blocks that share an anchor but differ, sorted in one go; above it single strings are counted.
-VARIANTS = 1 << 15
+# A bucket of blocks to be sorted together that has more of them is dealt out by further bytes.
+VARIANTS = 1 << 10
 _CHUNK = 1 << 18
 _SORT = 1 << 19
 _PLACE = np.uint64((1 << 20) - 1)
@@ -202,11 +202,12 @@ def repeated_runs(blocks: list[bytes], counts: np.ndarray, length: int) -> tuple
 
 
 def _sort_blocks(length: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks sorted by anchor; all blocks of an anchor are sorted together."""
+    """Blocks sorted by bucket; all blocks of a bucket are sorted together."""
 
     def flush(tables: list[pa.Table]):
         rows = pa.concat_tables(tables)
         counts = rows.column("n").to_numpy().astype(np.int64)
+        base = rows.column("base").to_numpy().astype(np.int64)
         block, first, last = repeated_runs(rows.column("block").to_pylist(), counts, length)
         if len(block):
             at = pa.array(block)
@@ -214,8 +215,8 @@ def _sort_blocks(length: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.
                 [
                     rows.column("h").take(at).combine_chunks(),
                     rows.column("d").take(at).combine_chunks(),
-                    pa.array(first, pa.int32()),
-                    pa.array(last, pa.int32()),
+                    pa.array(first + base[block], pa.int32()),
+                    pa.array(last + base[block], pa.int32()),
                 ],
                 schema=_FOUND,
             )
@@ -224,7 +225,7 @@ def _sort_blocks(length: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.
     size, last = 0, None
     for rows in batches:
         table = pa.Table.from_batches([rows])
-        h = table.column("h").to_numpy()
+        h = table.column("bucket").to_numpy()
         cuts = np.r_[0, np.flatnonzero(h[1:] != h[:-1]) + 1]
         counts = np.add.reduceat(table.column("n").to_numpy(), cuts) if len(h) else []
         done = 0
@@ -242,34 +243,113 @@ def _sort_blocks(length: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.
         yield from flush(held)
 
 
-def _single_strings(length: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    digest = xxhash.xxh3_128_digest
+_ITEMS = pa.schema(
+    [
+        ("bucket", pa.int64()),
+        ("low", pa.int32()),
+        ("high", pa.int32()),
+        ("h", pa.int64()),
+        ("d", pa.int64()),
+        ("base", pa.int32()),
+        ("n", pa.int32()),
+        ("anchor", pa.int32()),
+        ("block", pa.binary()),
+        ("same", pa.binary()),
+    ]
+)
+_ITEMS_DDL = (
+    "bucket long, low int, high int, h long, d long, base int, n int, anchor int, block binary, same binary"
+)
+
+
+def _items(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _ITEMS)], schema=_ITEMS)
+
+
+def _first_items(length: int, gram: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whole blocks in the bucket of their anchor, with the anchor's place."""
+    for rows in batches:
+        out = []
+        for h, d, n, block in zip(*(rows.column(c).to_pylist() for c in ("h", "d", "n", "block"))):
+            hashes = _gram_hashes(np.frombuffer(block, np.uint8), gram).view(np.int64)
+            # The anchor lies inside every string of the block.
+            anchor = n - 1 + int(np.argmax(hashes[n - 1 : length - gram + 1] == h))
+            out.append((h, 0, length - gram, h, d, 0, n, anchor, block, b""))
+        if out:
+            yield _items(out)
+
+
+def _halved(length: int, gram: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Strings of each item, dealt out by how far before the anchor they start.
+
+    Those that start ``middle`` bytes before it or earlier all hold these bytes, the others
+    some more bytes behind the anchor; these bytes go into the new bucket's number. Equal
+    strings start equally far before their anchor and hold the same bytes, so they meet again.
+    """
+    digest, same = xxhash.xxh3_64_intdigest, xxhash.xxh3_128_digest
     for rows in batches:
-        for h, d, n, block in zip(
-            rows.column("h").to_pylist(),
-            rows.column("d").to_pylist(),
-            rows.column("n").to_pylist(),
-            rows.column("block"),
+        out = []
+        for bucket, low, high, h, d, base, n, anchor, block, _ in zip(
+            *(rows.column(c).to_pylist() for c in _ITEMS.names)
         ):
-            view = memoryview(block.as_py())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([h] * n, pa.int64()),
-                    pa.array([d] * n, pa.int64()),
-                    pa.array(range(n), pa.int32()),
-                    pa.array([digest(view[i : i + length]) for i in range(n)], pa.binary()),
-                ],
-                names=["h", "d", "first", "string"],
-            )
+            middle = (low + high + 1) // 2
+            # Strings first to last of the item start at least, or less than, middle before the anchor.
+            cut = min(max(anchor - middle + 1, 0), n)
+            seed = bucket & (1 << 64) - 1
+            for first, end, a, b, low_, high_ in (
+                (0, cut, anchor - middle, anchor, middle, high),
+                (cut, n, anchor + gram, anchor + length - middle + 1, low, middle - 1),
+            ):
+                if first == end:
+                    continue
+                number = digest(block[a:b], seed=seed ^ (high_ + 1))
+                part = block[first : end - 1 + length]
+                out.append(
+                    (number - (1 << 64) if number >> 63 else number, low_, high_, h, d, base + first, end - first)
+                    + (anchor - first, part, same(part))
+                )
+        if out:
+            yield _items(out)
 
 
-def _counted_strings(blocks: DataFrame, length: int) -> DataFrame:
-    """Repeated strings of very many different blocks, one digest each, counted before the shuffle."""
-    strings = stored(
-        arrow_map(blocks, partial(_single_strings, length), "h long, d long, first int, string binary"), "strings"
-    )
-    often = strings.groupBy("string").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("string")
-    return strings.join(often, "string", "left_semi").select("h", "d", "first", F.col("first").alias("last"))
+def _sorted_runs(blocks: DataFrame, length: int, gram: int, variants: int) -> DataFrame:
+    """Runs ``(h, d, first, last)`` of strings that different blocks of one anchor share.
+
+    Blocks of an anchor form a bucket. As long as a bucket holds more than ``variants`` blocks
+    it is dealt out by the bytes around the anchor, half of the strings by those before and half
+    by those behind it; parts that became equal are settled and one of them goes on. After
+    eight rounds a bucket holds one string, so every bucket gets small. All buckets are sorted.
+    """
+    items = stored(arrow_map(blocks, partial(_first_items, length, gram), _ITEMS_DDL), "items")
+    settled: list[DataFrame] = []
+    ready: list[DataFrame] = []
+    while True:
+        sizes = items.groupBy("bucket", "low", "high").agg(F.count(F.lit(1)).alias("_n"))
+        crowded = stored(sizes.filter((F.col("_n") > variants) & (F.col("low") < F.col("high"))), "crowded")
+        if crowded.isEmpty():
+            break
+        key = ["bucket", "low", "high"]
+        ready.append(items.join(crowded, key, "left_anti"))
+        halves = arrow_map(
+            items.join(crowded, key, "left_semi").select(*_ITEMS.names), partial(_halved, length, gram), _ITEMS_DDL
+        )
+        halves = stored(halves, "halves")
+        kinds = halves.groupBy(*key, "same", "n").agg(
+            F.count(F.lit(1)).alias("_n"), F.min(F.struct("h", "d")).alias("_one")
+        )
+        halves = stored(halves.join(kinds, [*key, "same", "n"]), "dealt")
+        settled.append(
+            halves.filter("_n > 1").select("h", "d", F.col("base").alias("first"), (F.col("base") + F.col("n") - 1).alias("last"))
+        )
+        items = halves.filter("h = _one.h and d = _one.d").select(*_ITEMS.names)
+    for more in ready:
+        items = items.unionByName(more)
+    dealt = items.select("bucket", "low", "high", "h", "d", "base", "n", "block")
+    dealt = dealt.repartition(shuffle_width(blocks.sparkSession), "bucket").sortWithinPartitions("bucket", "low")
+    found = arrow_map(dealt, partial(_sort_blocks, length), _FOUND_DDL)
+    for more in settled:
+        found = found.unionByName(more)
+    return found
 
 
 def repeated_spans(
@@ -286,11 +366,10 @@ def repeated_spans(
        an anchor are equal, all their strings are repeated. Both need no text.
     3. Of the rest one copy of each different block is fetched. All blocks of an anchor are
        sorted together by two-stage suffix sorting, and neighbours that share ``length``
-       bytes are repeated. Above ``variants`` different blocks an anchor's strings are counted
-       one by one instead, so a passage in a third of all texts loads no single task.
+       bytes are repeated. Above ``variants`` different blocks an anchor is first dealt out by
+       the bytes around it (``_sorted_runs``), so a common passage loads no single task.
     4. What was found for a block goes back to each text that holds it.
     """
-    spark = docs.sparkSession
     blocks = arrow_map(
         _keyed(docs).select("kid", "th", "text"), partial(_block_rows, length, gram), _BLOCKS_DDL
     )
@@ -315,19 +394,14 @@ def repeated_spans(
     )
     wanted = kinds.select("one.kid", "one.th", F.struct("h", "d", "n", "one.at").alias("w"))
     wanted = wanted.groupBy("kid", "th").agg(F.collect_list("w").alias("wanted"))
-    texts = _squeezed(docs).select("kid", "th", "z").join(wanted, ["kid", "th"]).select("z", "wanted")
+    texts = _squeezed(docs).select("kid", "th", "z")
+    # Only where a doc_id occurs twice can rows be equal; one of them stands for all.
+    alone = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").isEmpty()
+    if not alone:
+        texts = texts.groupBy("kid", "th").agg(F.first("z").alias("z"))
+    texts = texts.join(wanted, ["kid", "th"]).select("z", "wanted")
     cut = stored(arrow_map(texts, partial(_cut_blocks, length), _VARIANT_DDL), "blocks")
-    crowded = stored(
-        kinds.groupBy("h").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > variants).select("h"), "crowded"
-    )
-    if crowded.isEmpty():
-        few, many = cut, None
-    else:
-        few, many = cut.join(crowded, "h", "left_anti"), cut.join(crowded, "h", "left_semi")
-    few = few.select("h", "d", "n", "block").repartition(shuffle_width(spark), "h").sortWithinPartitions("h")
-    found = arrow_map(few, partial(_sort_blocks, length), _FOUND_DDL)
-    if many is not None:
-        found = found.union(_counted_strings(many.select("h", "d", "n", "block"), length))
+    found = _sorted_runs(cut.select("h", "d", "n", "block"), length, gram, variants)
     # A block met more than once is repeated as a whole, whatever else its anchor has.
     whole = kinds.filter("times > 1").select("h", "d", F.lit(0).alias("first"), (F.col("n") - 1).alias("last"))
     once = kinds.filter("times = 1").select("h", "d")
@@ -336,7 +410,10 @@ def repeated_spans(
         "kid", "th", F.struct("at", F.lit(0).alias("first"), (F.col("n") - 1).alias("last")).alias("s")
     )
     differing = mixed.join(found, ["h", "d"]).select("kid", "th", F.struct("at", "first", "last").alias("s"))
-    return alike.union(differing).groupBy("kid", "th").agg(F.collect_list("s").alias("spans"))
+    pieces = alike.union(differing)
+    if not alone:
+        pieces = pieces.distinct()
+    return pieces.groupBy("kid", "th").agg(F.collect_list("s").alias("spans"))
 
 
 def merged_spans(spans: list[dict] | None, length: int) -> list[tuple[int, int]]:
