@@ -140,7 +140,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int
     known = docs.select(F.col("doc_id").cast("long"), as_bytes()).join(F.broadcast(chosen), "doc_id")
     # A doc_id that occurs often counts once.
     known = known.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
-    shares = known.repartition(TRAINERS, F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(TRAINERS)))
+    share = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(TRAINERS)).cast("int")
+    shares = known.repartitionById(TRAINERS, share)
     # Each epoch passes the share again, in the same order; the rows are shuffled once.
     shares = shares.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(EPOCHS))))
     shares = shares.sortWithinPartitions("epoch", F.xxhash64("doc_id", F.lit(2)), "doc_id", "label", "text")

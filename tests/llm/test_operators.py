@@ -410,6 +410,52 @@ def test_classifier_learns_from_the_right_rows(spark, docs, nothing):
     assert sorted(r.doc_id for r in kept.collect()) == [i for i in range(300) if i % 3]
 
 
+def brute_ftrl(rows, alpha=0.3, beta=1.0, l1=0.05, l2=0.1):
+    """Weights by the textbook update, one coordinate at a time, over dictionaries."""
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(i):
+        if abs(z[i]) <= l1:
+            return 0.0
+        return -(z[i] - (l1 if z[i] > 0 else -l1)) / ((beta + n[i] ** 0.5) / alpha + l2)
+
+    for data, label in rows:
+        at, values = quality_model.features(data)
+        at, values = at.tolist(), values.tolist()
+        now = {i: weight(i) for i in at}
+        score = 1 / (1 + np.exp(-sum(now[i] * v for i, v in zip(at, values))))
+        steps = []
+        for i, v in zip(at, values):
+            slope = (score - label) * v
+            steps.append((i, slope - ((n[i] + slope**2) ** 0.5 - n[i] ** 0.5) / alpha * now[i], slope**2))
+        for i, dz, dn in steps:
+            z[i] += dz
+            n[i] += dn
+    return {i: weight(i) for i in z}
+
+
+def test_training_is_ftrl_on_four_shares(spark):
+    pick = random.Random(12)
+    rows = [(i, " ".join(pick.choices(["good", "fine", "x1", "BAD", "so so", "ok"], k=pick.randint(1, 12)))) for i in range(120)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    marks = spark.createDataFrame([(i, int("BAD" not in t)) for i, t in rows], "doc_id long, quality int")
+    known = frame.join(marks, "doc_id").filter(~quality_model.held_out()).withColumns(
+        {"share": F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(quality_model.TRAINERS)), "place": F.xxhash64("doc_id", F.lit(2))}
+    )
+    shares = defaultdict(list)
+    for r in sorted(known.collect(), key=lambda r: r.place):
+        shares[r.share].append((r.text.encode(), r.quality))
+    assert len(shares) == quality_model.TRAINERS
+    total, expected = sum(map(len, shares.values())), defaultdict(float)
+    for part in shares.values():
+        for i, w in brute_ftrl(part * quality_model.EPOCHS).items():
+            expected[i] += w * len(part) / total
+    found = quality_model.train(frame, marks)
+    assert set(np.flatnonzero(found)) <= set(expected)
+    for i, w in expected.items():
+        assert found[i] == pytest.approx(w, abs=1e-5)
+
+
 def test_held_out_accuracy(spark):
     folder = "/root/testdata/sf0.01"
     marks = spark.read.parquet(f"{folder}/labels.parquet")
