@@ -16,13 +16,9 @@ from pyspark.sql import functions as F
 
 from martwright.llm.common import arrow_map, as_bytes, shuffle_width, stored
 
-BITS = 18
-SMOOTHING = 0.5
-# Mean log-likelihood ratio of a text's n-grams below which it is not like the target.
-THRESHOLD = -0.35
-# Held-out scoring: buckets, pseudo-count of a ratio of one, and the share of the trusted texts,
+# Buckets (a power of two), pseudo-count of a ratio of one, and the share of the trusted texts,
 # each scored without itself, that the threshold may reject.
-WIDE_BITS = 22
+BITS = 22
 PRIOR = 2.0
 REJECTED_SHARE = 0.01
 # Thresholds are multiples of one over this.
@@ -192,15 +188,6 @@ def _ids(trusted: DataFrame) -> DataFrame:
     return trusted.select(F.col("doc_id").cast("long")).dropna().distinct()
 
 
-def likelihood_ratios(docs: DataFrame, trusted: DataFrame) -> np.ndarray:
-    """Log of each bucket's target share over its raw share, both smoothed."""
-    counts = bucket_counts(docs, trusted)
-    if not counts[0].any():
-        return np.zeros(1 << BITS, np.float32)
-    share = (counts + SMOOTHING) / (counts + SMOOTHING).sum(axis=1, keepdims=True)
-    return (np.log(share[0]) - np.log(share[1])).astype(np.float32)
-
-
 def held_out_means(buckets: np.ndarray, counts: np.ndarray, totals: tuple[int, int]) -> tuple[float, float]:
     """Mean log ratio of a text's grams, had it been trusted or not, without its own counts.
 
@@ -246,38 +233,6 @@ def measures(text: bytes, words: list[bytes], hashes: np.ndarray) -> tuple:
     )
 
 
-def judge(text: bytes, ratios: np.ndarray, threshold: float = THRESHOLD) -> tuple:
-    """Columns of a text's verdict, in the order of the result."""
-    words = text.split()
-    hashes = word_hashes(words)
-    plain = measures(text, words, hashes)
-    mean = float(ratios[gram_buckets(hashes)].mean(dtype=np.float64)) if words else 0.0
-    return *plain, not plain[-1] and mean >= threshold, mean
-
-
-def _judge(model: Broadcast, threshold: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows in batches:
-        found = [judge(text.as_py(), model.value, threshold) for text in rows.column("text")]
-        if found:
-            columns = [pa.array(c, f.type) for c, f in zip(zip(*found), list(_VERDICTS)[1:])]
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), *columns], schema=_VERDICTS)
-
-
-def verdicts(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Counts, ``base_failed``, ``kept`` and ``mean_ratio`` of every row of ``docs``.
-
-    ``trusted(doc_id)`` names target documents. A text is kept if the base rules hold and the
-    mean log-likelihood ratio of its one- and two-word grams, target over raw corpus, reaches
-    ``threshold``. NULL and empty texts have no words and fail. Words are case-sensitive.
-    Without trusted rows every ratio is zero, so only the base rules decide. Repeated rows are
-    judged alike; rows without doc_id are judged but never trusted; an empty table gives no
-    rows. Other columns are not read.
-    """
-    model = docs.sparkSession.sparkContext.broadcast(likelihood_ratios(docs, trusted))
-    rows = docs.select(F.col("doc_id").cast("long"), as_bytes())
-    return arrow_map(rows, partial(_judge, model, threshold), _VERDICTS_DDL)
-
-
 _MEANS = pa.schema([*list(_VERDICTS)[:7], ("as_trusted", pa.float64()), ("as_other", pa.float64())])
 _MEANS_DDL = _VERDICTS_DDL.split(", kept")[0] + ", as_trusted double, as_other double"
 
@@ -309,13 +264,20 @@ def lowest_kept(means: DataFrame, rejected_share: float) -> float:
 
 
 def held_out_verdicts(
-    docs: DataFrame, trusted: DataFrame, rejected_share: float = REJECTED_SHARE, bits: int = WIDE_BITS
+    docs: DataFrame, trusted: DataFrame, rejected_share: float = REJECTED_SHARE, bits: int = BITS
 ) -> DataFrame:
-    """The columns of ``verdicts``, every text being scored by the other texts alone.
+    """Counts, ``base_failed``, ``kept`` and ``mean_ratio`` of every row of ``docs``.
 
-    A text's own grams are taken out of the raw counts and, if it is trusted, out of the target.
-    ``kept`` follows a threshold set so that at most ``rejected_share`` of the trusted texts that
-    hold the base rules fall below it. Rows are otherwise treated as ``verdicts`` does.
+    ``trusted(doc_id)`` names target documents. A text is kept if the base rules hold and the
+    mean log-likelihood ratio of its one- and two-word grams, target over raw corpus, reaches a
+    threshold. Every text is scored by the other texts alone: its own grams are taken out of the
+    raw counts and, if it is trusted, out of the target. The threshold lets at most
+    ``rejected_share`` of the trusted texts that hold the base rules fall below it.
+
+    NULL and empty texts have no words and fail. Words are case-sensitive. Without trusted rows
+    every ratio is zero, so only the base rules decide. Repeated rows are judged alike; rows
+    without doc_id are judged but never trusted; an empty table gives no rows. Other columns are
+    not read.
     """
     counts = bucket_counts(docs, trusted, bits)
     totals = tuple(counts.sum(axis=1).tolist())
