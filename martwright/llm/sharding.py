@@ -61,12 +61,19 @@ def write_shards(
 ) -> None:
     """Write the documents as Parquet folders ``_shard=<number>``.
 
-    Rows are rebalanced by shard, which splits one too large for a task over several files.
+    Rows are rebalanced by shard, which splits one too large for a task over several files. A
+    NULL key, repeated rows and an empty table are placed as ``place`` does. All columns are
+    written; a column named ``_shard`` would be lost in the folder's name, so it is refused.
     """
+    if "_shard" in [c.lower() for c in docs.columns]:
+        raise ValueError("the column _shard names the folders: rename it first")
     names = names or [f"shard-{i:05d}" for i in range(SHARDS)]
+    slot = "_slot"
+    while slot in [c.lower() for c in docs.columns]:
+        slot = f"_{slot}"
     table = docs.sparkSession.createDataFrame(
-        list(enumerate(fill_table(names, slots))), "_slot long, _shard int"
+        list(enumerate(fill_table(names, slots))), f"{slot} long, _shard int"
     )
-    placed = docs.withColumn("_slot", F.pmod(F.xxhash64(key), F.lit(slots)))
-    placed = placed.join(F.broadcast(table), "_slot").drop("_slot")
+    placed = docs.withColumn(slot, F.pmod(F.xxhash64(key), F.lit(slots)))
+    placed = placed.join(F.broadcast(table), slot).drop(slot)
     placed.hint("rebalance", "_shard").write.partitionBy("_shard").parquet(path)
