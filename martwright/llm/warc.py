@@ -8,9 +8,11 @@ import re
 import zlib
 from collections.abc import Callable, Iterator
 from functools import partial
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +21,10 @@ from martwright.session import scratch_path
 
 # Payloads below this are responses even when equal.
 MIN_BYTES = 0
-RECORDS_PER_FILE = 5000
+# Records are written in blocks of about this many bytes, and files of so many blocks: a file is
+# read as one value, so it stays far below the two gigabytes that one may have.
+BLOCK_BYTES = 4 << 20
+BLOCKS_PER_FILE = 64
 _END = "\r\n\r\n"
 _FIRST_CAPTURE = 1_577_836_800  # 2020-01-01, in seconds
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -116,8 +121,11 @@ def record(row: dict, response: bool) -> str:
     return "\r\n".join(lines) + "\r\n\r\n" + block
 
 
-def _records(min_bytes: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Records of captures sorted by URL key, time and page; of equal rows one is the response."""
+def _records(min_bytes: int, block_bytes: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records of captures sorted by URL key, time and page; of equal rows one is the response.
+
+    Each value holds records up to ``block_bytes``, or a single longer one.
+    """
     before = None
     for rows in batches:
         out: list[str] = []
@@ -127,19 +135,28 @@ def _records(min_bytes: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.R
             same = (row["page_id"], row["url"], row["digest"])
             first = (row["page_id"], row["url"]) == (row["first_id"], row["first_url"]) and same != before
             before = same
-            out.append(record(row, first or row["size"] < min_bytes))
-            size += len(out[-1])
-            if size > 8 << 20:
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
+            found = record(row, first or row["size"] < min_bytes)
+            # A character has four bytes at most.
+            if out and size + 4 * len(found) > block_bytes:
+                yield pa.RecordBatch.from_arrays([pa.array([_END.join(out)], pa.string())], names=["value"])
                 out, size = [], 0
+            out.append(found)
+            size += 4 * len(found)
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
+            yield pa.RecordBatch.from_arrays([pa.array([_END.join(out)], pa.string())], names=["value"])
 
 
 def write_archives(
-    pages: DataFrame, path: str, min_bytes: int = MIN_BYTES, per_file: int = RECORDS_PER_FILE
+    pages: DataFrame,
+    path: str,
+    min_bytes: int = MIN_BYTES,
+    block_bytes: int = BLOCK_BYTES,
+    per_file: int = BLOCKS_PER_FILE,
 ) -> None:
-    """Write every page as a WARC record, into gzip files of at most ``per_file`` records.
+    """Write every page as a WARC record, into gzip files of at most ``per_file`` blocks.
+
+    A block holds records of ``block_bytes`` in all, or one longer record; so a file is bounded in
+    bytes whatever the pages' size.
 
     The smallest page of each payload is found on digests alone; that combines before the
     shuffle, so a payload with a third of all rows is one row per task. The pages are then
@@ -169,7 +186,7 @@ def write_archives(
         *(f"p.{n}" for n in _KEYS.names), "p.html", "q.first_id", "q.first_url"
     )
     rows = rows.sortWithinPartitions("url_key", "captured", "page_id", "url", "digest")
-    out = arrow_map(rows, partial(_records, min_bytes), "value string")
+    out = arrow_map(rows, partial(_records, min_bytes, block_bytes), "value string")
     out.write.option("maxRecordsPerFile", per_file).text(path, compression="gzip", lineSep=_END)
 
 
@@ -330,21 +347,26 @@ class LoserTree:
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Merge the runs of one key range; rows come run by run, each in its own order."""
+    """Merge the runs of one key range; rows come run by run, each in its own order.
+
+    The range, dealt evenly by sampled bounds, is held as columns; the merge moves row numbers.
+    """
     table = pa.Table.from_batches(list(batches), schema=_INDEX)
     if not table.num_rows:
         return
     run = table.column("run").combine_chunks().dictionary_encode().indices.to_numpy()
     cuts = np.r_[0, np.flatnonzero(run[1:] != run[:-1]) + 1, len(run)]
-    keys = list(
-        zip(
-            table.column("url_key").to_pylist(),
-            table.column("captured").to_pylist(),
-            [(p is not None, p or 0) for p in table.column("page_id").to_pylist()],
-        )
-    )
-    tree = LoserTree([iter(range(a, b)) for a, b in zip(cuts, cuts[1:])], keys.__getitem__)
-    yield from table.take(pa.array(list(tree), pa.int64())).to_batches(max_chunksize=1 << 16)
+    # Keys as numbers: the place of the URL key among all, the time, the page (NULL first).
+    url = pc.rank(table.column("url_key").combine_chunks(), tiebreaker="dense").to_numpy()
+    captured, page = table.column("captured").to_numpy(), table.column("page_id").combine_chunks()
+    known, number = page.is_valid().to_numpy(zero_copy_only=False), pc.fill_null(page, 0).to_numpy()
+
+    def key(i: int) -> tuple:
+        return url[i], captured[i], known[i], number[i]
+
+    tree = iter(LoserTree([iter(range(a, b)) for a, b in zip(cuts, cuts[1:])], key))
+    while len(at := np.fromiter(islice(tree, 1 << 16), np.int64)):
+        yield from table.take(pa.array(at)).combine_chunks().to_batches()
 
 
 def capture_history(index: DataFrame) -> DataFrame:

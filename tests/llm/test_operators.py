@@ -1,6 +1,7 @@
 """The pipeline's operators against brute force on small, awkward tables."""
 
 import base64
+import gzip
 import hashlib
 import random
 import re
@@ -290,6 +291,12 @@ def test_shards_are_written(docs, tmp_path):
     sharding.write_shards(docs, path, names=["a", "b", "c"], slots=101)
     back = docs.sparkSession.read.parquet(path)
     assert back.count() == docs.count() and set(docs.columns) < set(back.columns)
+    clashing = docs.withColumns({"_slot": F.lit("kept"), "slot": F.lit(1), "shard": F.lit(2)})
+    sharding.write_shards(clashing, path + "2", names=["a", "b", "c"], slots=101)
+    again = docs.sparkSession.read.parquet(path + "2")
+    assert again.filter("_slot = 'kept' and slot = 1 and shard = 2").count() == docs.count()
+    with pytest.raises(ValueError, match="_shard"):
+        sharding.write_shards(docs.withColumn("_Shard", F.lit(1)), path + "3")
 
 
 # --- 4, 8, 10 -------------------------------------------------------------------
@@ -599,6 +606,21 @@ def test_archives_hold_every_capture(spark):
     assert warc.archive_pages(pages.limit(0)).count() == 0
 
 
+def test_archives_are_bounded_in_bytes(spark, tmp_path):
+    rows = [(i, f"http://h{i % 7}.example/{i}", "é" * (3_000 if i % 50 else 80_000)) for i in range(400)]
+    rows += [(i, u, h) for i, u, h in rows[:3]] + [(None, None, "x"), (None, "http://h1.example/3", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
+    warc.write_archives(pages, str(tmp_path / "a"), block_bytes=50_000, per_file=3)
+    files = [p for p in (tmp_path / "a").iterdir() if p.suffix == ".gz"]
+    sizes = [len(gzip.decompress(p.read_bytes())) for p in files]
+    assert len(files) > 10 and max(sizes) <= 3 * 170_000
+    index = warc.read_archives(spark, str(tmp_path / "a"))
+    history = warc.capture_history(index).collect()
+    assert len(history) == len(rows)
+    keys = [(r.url_key, r.captured, r.page_id is not None, r.page_id or 0) for r in history]
+    assert keys == sorted(keys)
+
+
 def test_loser_tree_merges_runs():
     pick = random.Random(12)
     for k in (0, 1, 2, 3, 7, 16):
