@@ -607,7 +607,7 @@ def test_archives_hold_every_capture(spark):
 
 
 def test_archives_are_bounded_in_bytes(spark, tmp_path):
-    rows = [(i, f"http://h{i % 7}.example/{i}", "é" * (3_000 if i % 50 else 80_000)) for i in range(400)]
+    rows = [(i, f"http://h{i % 7}.example/{i}", f"{i}" + "é" * (3_000 if i % 50 else 80_000)) for i in range(400)]
     rows += [(i, u, h) for i, u, h in rows[:3]] + [(None, None, "x"), (None, "http://h1.example/3", None)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
     warc.write_archives(pages, str(tmp_path / "a"), block_bytes=50_000, per_file=3)
