@@ -213,39 +213,44 @@ def links(prints: DataFrame, budget: int = MAX_BITS, bucket_rows: int = BUCKET_R
 
     Two values with at most ``budget`` differing bits agree on one of ``budget + 1``
     blocks of bits. Each block in turn comes first and is the root level of a trie, whose
-    subtrees are dealt out by that block and walked against themselves. A subtree
-    above ``bucket_rows`` is dealt out once more in the same way by blocks of its
-    remaining bits, so near copies by the million do not meet in one task. Within a
-    subtree the linked values come back as a star on the smallest; pairs are not kept.
+    subtrees are dealt out by that block and walked against themselves. As long as a subtree
+    holds more than ``bucket_rows`` values it is dealt out again in the same way by blocks of its
+    remaining bits, so near copies by the million do not meet in one task: after four times
+    at most 16 bits are left, and 65,536 values. Within a subtree the linked values come back
+    as a star on the smallest; pairs are not kept.
     """
-    blocks = _split(list(range(64)), budget + 1)
-    first, deeper = [], {}
-    for i, block in enumerate(blocks):
-        rest = [b for b in range(64) if b not in block]
-        first.append((i, len(block), block + rest))
-        inner = _split(rest, budget + 1)
-        deeper[i] = [
-            (
-                (i + 1) * 100 + j,
-                len(block) + len(part),
-                block + part + [b for b in rest if b not in part],
-            )
-            for j, part in enumerate(inner)
+
+    def tries_of(known: list[int], start: int) -> list[tuple[int, int, list[int]]]:
+        rest = [b for b in range(64) if b not in known]
+        parts = _split(rest, budget + 1) if len(rest) > budget else []
+        return [
+            (start + i, len(known) + len(part), known + part + [b for b in rest if b not in part])
+            for i, part in enumerate(parts)
         ]
-    rows = _trie_rows(prints.select("fp").distinct(), first)
-    rows = stored(rows, "trie")
-    large = (
-        rows.groupBy("trie", "bucket")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .filter(F.col("_n") > bucket_rows)
-        .select("trie", "bucket")
-    )
-    every = rows.join(large, ["trie", "bucket"], "left_anti").select(*rows.columns)
-    hot = stored(rows.join(large, ["trie", "bucket"], "left_semi").select("fp", "trie"), "hot")
-    if not hot.isEmpty():
-        for i in range(len(blocks)):
-            more = _trie_rows(hot.filter(F.col("trie") == i).select("fp"), deeper[i])
-            every = every.unionByName(more)
+
+    tries = tries_of([], 0)
+    rows = stored(_trie_rows(prints.select("fp").distinct(), tries), "trie")
+    every, numbers = None, len(tries)
+    while True:
+        large = rows.groupBy("trie", "bucket").agg(F.count(F.lit(1)).alias("_n"))
+        open_ = [number for number, bits, _ in tries if 64 - bits > budget]
+        large = large.filter((F.col("_n") > bucket_rows) & F.col("trie").isin(open_)).select("trie", "bucket")
+        small = rows.join(large, ["trie", "bucket"], "left_anti").select(*rows.columns)
+        every = small if every is None else every.unionByName(small)
+        hot = stored(rows.join(large, ["trie", "bucket"], "left_semi").select("fp", "trie"), "hot")
+        # As many numbers as tries at most.
+        dealt_again = {r["trie"] for r in hot.select("trie").distinct().collect()}
+        if not dealt_again:
+            break
+        more, found = [], None
+        for number, bits, order in tries:
+            if number in dealt_again:
+                inner = tries_of(order[:bits], numbers)
+                numbers += len(inner)
+                more += inner
+                part = _trie_rows(hot.filter(F.col("trie") == number).select("fp"), inner)
+                found = part if found is None else found.unionByName(part)
+        tries, rows = more, stored(found, "trie")
     dealt = every.repartition(shuffle_width(prints.sparkSession), "trie", "bucket")
     return arrow_map(
         dealt.sortWithinPartitions("trie", "walked").select("trie", "prefix_bits", "walked", "fp"),

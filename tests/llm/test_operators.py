@@ -118,7 +118,7 @@ def test_near_duplicates(docs, nothing):
     assert {r.doc_id for r in kept.collect()} - {None} == first - {None}
 
 
-@pytest.mark.parametrize("bucket_rows", [1 << 16, 3])
+@pytest.mark.parametrize("bucket_rows", [1 << 16, 20, 6])
 def test_links_connect_what_all_pairs_connect(spark, bucket_rows):
     pick = random.Random(2)
     centres = [pick.getrandbits(64) for _ in range(12)]
