@@ -53,18 +53,8 @@ def slice_sales(df: DataFrame, start, end, category="ALL", country="ALL") -> Dat
     return sliced
 
 
-def per_order(df: DataFrame) -> DataFrame:
-    """Lines summed by order, customer and day.
-
-    Several distinct counts multiply their input rows; they then take orders, not lines.
-    """
-    return df.groupBy("order_number", "customer_key", "order_date").agg(
-        F.sum("gross_sales_amount").alias("gross_sales_amount"), F.sum("quantity").alias("quantity")
-    )
-
-
 def kpi_totals(df: DataFrame) -> DataFrame:
-    return per_order(df).agg(
+    return df.agg(
         F.coalesce(F.sum("gross_sales_amount"), F.lit(0.0)).alias("total_sales"),
         F.count_distinct("order_number").alias("total_orders"),
         F.coalesce(F.sum("quantity"), F.lit(0)).alias("total_quantity"),
@@ -74,7 +64,7 @@ def kpi_totals(df: DataFrame) -> DataFrame:
 
 def kpi_ratios(df: DataFrame) -> DataFrame:
     """Averages per day, order, unit and customer; 0 for a zero divisor."""
-    totals = per_order(df).agg(
+    totals = df.agg(
         F.sum("gross_sales_amount").alias("sales"),
         F.count_distinct("order_number").alias("orders"),
         F.sum("quantity").alias("units"),
@@ -144,23 +134,11 @@ def period_over_period(
     metrics = metrics or POP_METRICS
     prior, _, last = _windows(start, end)
     tagged = _two_windows(slice_sales(df, prior, last, category, country), start, end)
-    counted = {name: column for name, (column, kind) in metrics.items() if kind == "distinct"}
-    summed = {name: column for name, (column, kind) in metrics.items() if kind != "distinct"}
-    # Rows that agree in all counted columns are summed first.
-    keys = [F.col(column).alias(f"_key_{name}") for name, column in counted.items()]
-    rows = tagged.groupBy("_current", *keys).agg(
-        F.count(F.lit(1)).alias("_rows"),
-        *[F.sum(column).alias(f"_sum_{name}") for name, column in summed.items()],
-    )
-    by_window = rows.groupBy("_current").agg(
-        *[
-            F.count_distinct(f"_key_{name}").alias(name)
-            if name in counted
-            else F.sum(f"_sum_{name}").alias(name)
-            for name in metrics
-        ]
-    )
-    return _metric_pairs(by_window, list(metrics))
+    aggs = [
+        (F.count_distinct(column) if kind == "distinct" else F.sum(column)).alias(name)
+        for name, (column, kind) in metrics.items()
+    ]
+    return _metric_pairs(tagged.groupBy("_current").agg(*aggs), list(metrics))
 
 
 def _one_row(spark: SparkSession) -> DataFrame:
@@ -200,7 +178,7 @@ def kpi_trend_product(df: DataFrame, start, end) -> DataFrame:
     start, end = _day(start), _day(end)
     spine, row_bucket = _buckets(df.sparkSession, start, end)
     measured = (
-        per_order(df.filter(_between(start, end)))
+        df.filter(_between(start, end))
         .groupBy(row_bucket.alias("bucket"))
         .agg(
             F.sum("gross_sales_amount").alias("revenue"),

@@ -548,6 +548,16 @@ def source_freshness(ingestion: DataFrame) -> DataFrame:
     )
 
 
+def newest_per_target(freshness: DataFrame) -> DataFrame:
+    """One row per target of several tables of newest loads: the newest of them."""
+    row = F.struct("source_table", "last_loaded")
+    return (
+        freshness.groupBy("target_table")
+        .agg(F.max_by(row, F.struct("last_loaded", "source_table")).alias("_row"))
+        .select("_row.source_table", "target_table", "_row.last_loaded")
+    )
+
+
 def freshness_age(freshness: DataFrame, as_of=None) -> DataFrame:
     """Whole hours and minutes since each load."""
     now = F.current_timestamp() if as_of is None else as_stamp(as_of)

@@ -3,37 +3,34 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from martwright import schemas
 from martwright.operators import telemetry
 from martwright.session import cut_lineage
 from martwright.sources import tables
-from martwright.sources.files import read_artifact, read_section
+from martwright.sources.files import path_exists, read_artifact, read_section, read_table
 
 
 def telemetry_sections(
     results: DataFrame,
     nodes: DataFrame,
     sources: DataFrame,
-    known_loads: DataFrame,
     new_loads: DataFrame,
-    as_of=None,
 ) -> dict[str, DataFrame]:
-    """Section name → lazy frame, from exploded results, nodes, sources and loads."""
+    """Section name → lazy frame, from exploded results, nodes, sources and new loads.
+
+    Freshness is not among them: it follows from all stored loads (``store_sections``).
+    """
     models = telemetry.model_coverage(nodes)
-    history = telemetry.merge_history(known_loads, new_loads)
     found = {
         "summary": telemetry.health_summary(results, models),
         "execution_logs": telemetry.execution_logs(results, nodes, sources),
         "model_coverage": models,
         "column_coverage": telemetry.column_coverage(nodes),
-        "source_freshness": telemetry.freshness_age(telemetry.source_freshness(history), as_of),
-        "ingestion_logs": history,
-    }
-    return {
-        name: found[name].select(*schema.names)
-        for name, schema in schemas.TELEMETRY_SECTIONS.items()
+        "ingestion_logs": new_loads,
     }
+    return {name: f.select(*schemas.TELEMETRY_SECTIONS[name].names) for name, f in found.items()}
 
 
 def run_header(run_results: DataFrame) -> DataFrame:
@@ -41,19 +38,58 @@ def run_header(run_results: DataFrame) -> DataFrame:
     return run_results.select("metadata.*", "elapsed_time")
 
 
-def store_sections(spark: SparkSession, sections: dict[str, DataFrame], out: str) -> dict[str, DataFrame]:
-    """Replace the stored sections and return them as stored.
+def _days(loads: DataFrame) -> list:
+    """Days of some loads, a calendar's worth at most; NULL if one has no time."""
+    return [row[0] for row in loads.select(F.to_date("run_timestamp")).distinct().collect()]
 
-    The old load history is an input of the new one, so the sections that depend
-    on it are settled elsewhere before their directories are replaced.
+
+def merge_loads(spark: SparkSession, new: DataFrame, out: str) -> None:
+    """Add loads to the stored history, and to the newest load of each target.
+
+    The history is stored by day. Only the days of the new loads are read, merged and replaced;
+    the newest loads are brought forward from the rows of these days alone.
     """
-    settled = {
-        name: cut_lineage(frame) if name in ("ingestion_logs", "source_freshness") else frame
-        for name, frame in sections.items()
-    }
-    tables.write_telemetry(settled, out)
+    new = cut_lineage(new.select(*schemas.INGESTION_LOGS.names))
+    days = _days(new)
+    if not days:
+        return
+    history = f"{out}/ingestion_logs"
+    known = spark.createDataFrame([], schemas.INGESTION_LOGS)
+    if path_exists(spark, history):
+        stored = read_table(spark, history)
+        day = F.col("_day") if "_day" in stored.columns else F.to_date("run_timestamp")
+        wanted = day.isin([d for d in days if d is not None])
+        if None in days:
+            wanted = wanted | day.isNull()
+        known = stored.filter(wanted).select(*schemas.INGESTION_LOGS.names)
+    merged = cut_lineage(telemetry.merge_history(known, new))
+    tables.replace_day(merged, history, "run_timestamp")
+    newest = telemetry.source_freshness(merged).unionByName(newest_loads(spark, out))
+    tables.refresh_table(telemetry.newest_per_target(newest), f"{out}/newest_loads")
+
+
+def newest_loads(spark: SparkSession, out: str) -> DataFrame:
+    """Newest successful load of every target, as stored."""
+    return read_section(spark, f"{out}/newest_loads", schemas.NEWEST_LOADS)
+
+
+def store_sections(
+    spark: SparkSession, sections: dict[str, DataFrame], out: str, as_of=None
+) -> dict[str, DataFrame]:
+    """Store the sections of a run and return them as stored.
+
+    The section of loads is merged into the stored history (``merge_loads``), and freshness
+    follows from the newest stored loads; the others are replaced.
+    """
+    merge_loads(spark, sections["ingestion_logs"], out)
+    aged = telemetry.freshness_age(newest_loads(spark, out), as_of)
+    replaced = {name: frame for name, frame in sections.items() if name != "ingestion_logs"}
+    replaced["source_freshness"] = aged.select(*schemas.SOURCE_FRESHNESS.names)
+    tables.write_telemetry(replaced, out)
+    declared = {**{name: frame.schema for name, frame in replaced.items()}, **schemas.TELEMETRY_SECTIONS}
     return {
-        name: read_section(spark, f"{out}/{name}", frame.schema) for name, frame in settled.items()
+        name: read_section(spark, f"{out}/{name}", declared[name])
+        for name in [*sections, "source_freshness"]
     }
 
 
@@ -72,8 +108,6 @@ def export_telemetry(
         telemetry.result_rows(run),
         telemetry.manifest_nodes(graph),
         telemetry.manifest_sources(graph),
-        stored_loads(spark, out),
         loads,
-        as_of,
     )
-    return store_sections(spark, {**sections, "header": run_header(run)}, out)
+    return store_sections(spark, {**sections, "header": run_header(run)}, out, as_of)

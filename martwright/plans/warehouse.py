@@ -12,7 +12,7 @@ from martwright.functions.columns import as_stamp
 from martwright.operators import gold, quality, silver, telemetry
 from martwright.operators.quality import Check
 from martwright.plans.suites import all_checks
-from martwright.plans.telemetry_export import store_sections, stored_loads, telemetry_sections
+from martwright.plans.telemetry_export import store_sections, telemetry_sections
 from martwright.session import cut_lineage
 from martwright.sources import tables
 from martwright.sources.files import read_table
@@ -147,9 +147,7 @@ def build_warehouse(
         suite_results(logs),
         declared_nodes(spark, models, checks),
         no_sources,
-        stored_loads(spark, f"{out}/telemetry"),
         loads,
-        as_of,
     )
     # The suite knows the table behind each of its checks, also in bronze.
     sections["execution_logs"] = logs
@@ -157,5 +155,5 @@ def build_warehouse(
         "load_log": load_log,
         "bronze": bronze,
         **models,
-        "telemetry": store_sections(spark, sections, f"{out}/telemetry"),
+        "telemetry": store_sections(spark, sections, f"{out}/telemetry", as_of),
     }

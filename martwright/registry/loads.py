@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from martwright import schemas
 from martwright.operators import gold
-from martwright.plans.telemetry_export import store_sections, stored_loads, telemetry_sections
+from martwright.plans.telemetry_export import store_sections, telemetry_sections
 from martwright.registry import GOLD, Catalog, r, rounded
 from martwright.registry.silver import SILVER
 from martwright.registry.star import TIERS
@@ -302,11 +302,9 @@ def stored_section(t, name: str) -> DataFrame:
         t.test_results,
         nodes(t),
         t.node_sources,
-        stored_loads(t.spark, out),
         t.ingestion_logs,
-        "2024-02-05 07:31:10",
     )
-    return store_sections(t.spark, sections, out)[name]
+    return store_sections(t.spark, sections, out, "2024-02-05 07:31:10")[name]
 
 
 MODEL_SECTION = "model_name, schema, total_columns, columns_with_tests, column_coverage_pct, total_tests"

@@ -95,6 +95,7 @@ SOURCE_FRESHNESS = table(
     "source_table string, target_table string, last_loaded timestamp,"
     "hours_since_load long, minutes_since_load long"
 )
+NEWEST_LOADS = table("source_table string, target_table string, last_loaded timestamp")
 INGESTION_LOGS = table(
     "log_id string, run_timestamp timestamp, resource_type string, table_name string,"
     "target_table string, source_rows long, destination_rows long, rows_inserted long,"

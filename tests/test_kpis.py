@@ -361,23 +361,3 @@ def test_rounding_text_shares(frame):
         ("A", "33.33%"),
         ("B", "66.67%"),
     ]
-
-
-def test_distinct_counts_expand_orders_not_lines(spark, tmp_path):
-    path = str(tmp_path / "sales")
-    spark.sql(
-        "select 'o1' order_number, 'c1' customer_key, date '2020-01-02' order_date, 2.0D gross_sales_amount,"
-        " 1L quantity, 'a' category, 'x' country"
-    ).write.parquet(path)
-    sales = spark.read.parquet(path)
-    for frame in (
-        kpis.kpi_totals(sales),
-        kpis.kpi_ratios(sales),
-        kpis.period_over_period(sales, "2020-01-01", "2020-01-31"),
-        kpis.kpi_trend_product(sales, "2020-01-01", "2020-12-31"),
-    ):
-        lines = frame._jdf.queryExecution().optimizedPlan().toString().splitlines()
-        below = [line for at in range(len(lines)) if "Expand [" in lines[at] for line in lines[at + 1 : at + 3]]
-        assert below and any("Aggregate [" in line for line in below), "\n".join(lines)
-    total = kpis.kpi_totals(sales).first()
-    assert (total.total_sales, total.total_orders, total.total_quantity, total.total_customers) == (2.0, 1, 1, 1)
