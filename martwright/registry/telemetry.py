@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from martwright.functions.redaction import mask_map, redact_text
-from martwright.operators import telemetry
+from martwright.operators import artifacts, telemetry
 from martwright.plans.telemetry_export import merge_loads, newest_loads
 from martwright.registry import Catalog, r
 from martwright.session import scratch_path
@@ -181,6 +181,72 @@ def _(t):
     return telemetry.column_coverage(nodes(t))
 
 
+def result_artifacts(results):
+    """Each result as a run artifact of its own, as text, with a field that nothing declares."""
+    one = F.struct("unique_id", "status", "execution_time", "failures", "message", F.lit("x").alias("thread"))
+    started = "invocation_started_at" if "invocation_started_at" in results.columns else "generated_at"
+    header = F.struct("invocation_id", F.col(started).alias("invocation_started_at"), "generated_at")
+    text = F.to_json(F.struct(header.alias("metadata"), F.array(one).alias("results")))
+    return artifacts.as_variant(results.select(text.alias("value")))
+
+
+def node_artifacts(t):
+    """Each node as a manifest of its own, as text."""
+    kwargs = F.struct(F.struct(F.col("test_model").alias("model")).alias("kwargs")).alias("test_metadata")
+    names = ["resource_type", "name", "alias", "schema", "database", "columns", "attached_node", "column_name"]
+    node = F.struct(*names, kwargs, F.array(F.lit(1)).alias("depends_on"))
+    text = F.to_json(F.struct(F.create_map("unique_id", node).alias("nodes")))
+    return artifacts.as_variant(nodes(t).select(text.alias("value")))
+
+
+def source_artifacts(t):
+    source = F.struct("source_name", "name", "identifier", "schema")
+    text = F.to_json(F.struct(F.create_map("unique_id", source).alias("sources")))
+    return artifacts.as_variant(t.node_sources.select(text.alias("value")))
+
+
+@QUERIES.add(
+    "t01_flatten_results_variant",
+    f"SELECT * REPLACE ({stamp('run_timestamp')} AS run_timestamp) FROM ({LOGS_SQL})",
+    ("run_results",),
+)
+def _(t):
+    return telemetry.flatten_results(artifacts.result_rows(result_artifacts(t.run_results)))
+
+
+@QUERIES.add("t02_execution_logs_variant", EXECUTION_SQL, EXECUTION_TABLES)
+def _(t):
+    results = artifacts.result_rows(result_artifacts(t.test_results))
+    manifest, sources = node_artifacts(t), source_artifacts(t)
+    return telemetry.execution_logs(
+        results, artifacts.manifest_nodes(manifest), artifacts.manifest_sources(sources)
+    )
+
+
+@QUERIES.add(
+    "t03_source_target_variant",
+    f"""
+SELECT n.unique_id, {SOURCE_REL} AS target_table
+FROM node_tests n JOIN node_sources s
+  ON s.name = regexp_extract(n.test_model, 'source\\(''([^'']+)'',\\s*''([^'']+)''\\)', 2)
+WHERE n.attached_node IS NULL""",
+    ("node_tests", "node_sources"),
+)
+def _(t):
+    manifest, sources = node_artifacts(t), source_artifacts(t)
+    return telemetry.source_target(artifacts.manifest_nodes(manifest), artifacts.manifest_sources(sources))
+
+
+@QUERIES.add("t04_model_coverage_variant", COVERAGE_CTES + "SELECT * FROM mc", NODES)
+def _(t):
+    return telemetry.model_coverage(artifacts.manifest_nodes(node_artifacts(t)))
+
+
+@QUERIES.add("t05_column_coverage_variant", COVERAGE_CTES + "SELECT * FROM cc", NODES)
+def _(t):
+    return telemetry.column_coverage(artifacts.manifest_nodes(node_artifacts(t)))
+
+
 FLAT_SQL = """
 SELECT cc.* EXCLUDE (unique_id), total_columns AS model_total_columns,
        columns_with_tests AS model_columns_with_tests,
