@@ -178,7 +178,7 @@ def test_queries_with_sql_agree(spark):
     import duckdb
 
     con = duckdb.connect()
-    for table in ("documents", "pages"):
+    for table in ("documents", "pages", "conversations"):
         con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{FOLDER}/{table}.parquet'")
     for name, sql in queries.SQL.items():
         found = queries.QUERIES[name](spark, FOLDER)
