@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Rows are ranked inside this many ranges (a power of two), cut at quantiles of a sample.
+# Rows are ranked inside this many ranges, cut at quantiles of a sample.
 RANGES = 128
 SAMPLE_ROWS = 8192
 # Bits of a value settled by one histogram.
@@ -30,8 +30,9 @@ def range_bounds(df: DataFrame, key: Column, ranges: int, sample_rows: int) -> C
     sample = df.select(key.alias("_key")).withColumn("_hash", F.xxhash64("_key"))
     sample = sample.orderBy("_hash", "_key").limit(sample_rows)
     found = sample.agg(F.sort_array(F.collect_list("_key")).alias("_keys"))
-    at = [F.floor(F.size("_keys") * F.lit(i) / F.lit(ranges)).cast("int") for i in range(1, ranges)]
-    return found.select(F.transform(F.array(*at), lambda i: F.get("_keys", i)).alias("_bounds")).scalar()
+    numbers = F.sequence(F.lit(1), F.lit(ranges - 1))
+    at = F.transform(numbers, lambda i: F.floor(F.size("_keys") * i / F.lit(ranges)).cast("int"))
+    return found.select(F.transform(at, lambda i: F.get("_keys", i)).alias("_bounds")).scalar()
 
 
 def global_rank(
@@ -44,21 +45,15 @@ def global_rank(
     """``row_number`` over the whole frame without a one-task window.
 
     ``order`` are sort keys as of ``ascending`` and ``descending``; together they must tell all
-    rows apart. The rows fall into ranges, found by bisecting bounds taken from a sample; rows
-    are counted per range and ranked inside each, and a range starts after the counts of those
-    before. Nothing runs or is written before an action. The rows must come out the same
+    rows apart. The rows fall into ranges between bounds taken from a sample; rows are counted per
+    range and ranked inside each, and a range starts after the counts of those before. Nothing runs or is written before an action. The rows must come out the same
     whenever they are computed, so sums should be of decimals.
     """
-    if ranges < 2 or ranges & (ranges - 1):
-        raise ValueError("ranges must be a power of two")
+    if ranges < 2:
+        raise ValueError("ranges must be two or more")
     key = F.struct(*[c.alias(f"_{i}") for i, c in enumerate(order)])
     ranged = df.withColumn("_bounds", range_bounds(df, key, ranges, sample_rows))
-    ranged = ranged.withColumn("_range", F.lit(0))
-    step = ranges // 2
-    while step:
-        beyond = F.get("_bounds", F.col("_range") + F.lit(step - 1)) <= key
-        ranged = ranged.withColumn("_range", F.col("_range") + F.when(beyond, step).otherwise(0))
-        step //= 2
+    ranged = ranged.withColumn("_range", F.size(F.filter("_bounds", lambda b: b <= key)))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     # One row per range.
     offsets = (
