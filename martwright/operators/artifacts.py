@@ -6,14 +6,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 COLUMNS_TYPE = "map<string, struct<name: string, description: string, data_type: string>>"
-_NODE_TEXTS = ("resource_type", "name", "alias", "schema", "database")
+_NODE = (
+    "struct<resource_type: string, name: string, alias: string, schema: string, database: string,"
+    f" columns: {COLUMNS_TYPE}, attached_node: string, column_name: string,"
+    " test_metadata: struct<kwargs: struct<model: string>>>"
+)
 _SOURCE_TEXTS = ("source_name", "name", "identifier", "schema", "database")
 _HEADER_TEXTS = ("invocation_started_at", "generated_at")
 
 
 def as_variant(texts: DataFrame, column: str = "value") -> DataFrame:
     """JSON texts as one VARIANT column ``artifact``; NULL where a text is no JSON object."""
-    is_object = F.json_object_keys(column).isNotNull()
+    # JSON that parses and opens with a brace is an object; no second parse has to tell.
+    is_object = F.ltrim(F.col(column), F.lit(" \t\r\n")).startswith("{")
     return texts.select(F.when(is_object, F.try_parse_json(column)).alias("artifact"))
 
 
@@ -31,13 +36,19 @@ def entries(artifacts: DataFrame, path: str, *kept: Column) -> DataFrame:
 
 def manifest_nodes(artifacts: DataFrame) -> DataFrame:
     """One row per node of the manifests, as ``telemetry.manifest_nodes`` gives them."""
-    return entries(artifacts, "$.nodes").select(
+    # All fields by one path: one that does not fit is NULL alone.
+    nodes = entries(artifacts, "$.nodes").select("key", _get("value", "$", _NODE).alias("n"))
+    return nodes.select(
         F.col("key").alias("unique_id"),
-        *[_get("value", f"$.{c}").alias(c) for c in _NODE_TEXTS],
-        _get("value", "$.columns", COLUMNS_TYPE).alias("columns"),
-        _get("value", "$.attached_node").alias("attached_node"),
-        _get("value", "$.column_name").alias("column_name"),
-        _get("value", "$.test_metadata.kwargs.model").alias("test_model"),
+        "n.resource_type",
+        "n.name",
+        "n.alias",
+        "n.schema",
+        "n.database",
+        "n.columns",
+        "n.attached_node",
+        "n.column_name",
+        F.col("n.test_metadata.kwargs.model").alias("test_model"),
     )
 
 

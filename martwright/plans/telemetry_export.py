@@ -18,16 +18,20 @@ def telemetry_sections(
     sources: DataFrame,
     new_loads: DataFrame,
 ) -> dict[str, DataFrame]:
-    """Section name → lazy frame, from exploded results, nodes, sources and new loads.
+    """Section name → frame, from exploded results, nodes, sources and new loads.
 
-    Freshness is not among them: it follows from all stored loads (``store_sections``).
+    Most sections follow from the nodes and from the tests per column; both are stored first, so
+    that they are computed once. Freshness is not among the sections: it follows from all stored
+    loads (``store_sections``).
     """
-    models = telemetry.model_coverage(nodes)
+    nodes = cut_lineage(nodes)
+    tests = cut_lineage(telemetry.column_tests(nodes))
+    models = telemetry.model_coverage(nodes, tests)
     found = {
         "summary": telemetry.health_summary(results, models),
         "execution_logs": telemetry.execution_logs(results, nodes, sources),
         "model_coverage": models,
-        "column_coverage": telemetry.column_coverage(nodes),
+        "column_coverage": telemetry.column_coverage(nodes, tests),
         "ingestion_logs": new_loads,
     }
     return {name: f.select(*schemas.TELEMETRY_SECTIONS[name].names) for name, f in found.items()}

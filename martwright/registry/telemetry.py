@@ -9,7 +9,7 @@ from martwright.functions.redaction import mask_map, redact_text
 from martwright.operators import artifacts, telemetry
 from martwright.plans.telemetry_export import merge_loads, newest_loads
 from martwright.registry import Catalog, r
-from martwright.session import scratch_path
+from martwright.session import cut_lineage, scratch_path
 
 QUERIES = Catalog()
 
@@ -199,6 +199,11 @@ def node_artifacts(t):
     return artifacts.as_variant(nodes(t).select(text.alias("value")))
 
 
+def parsed_nodes(t):
+    """The nodes of the manifests, parsed once and stored for all that reads them."""
+    return cut_lineage(artifacts.manifest_nodes(node_artifacts(t)))
+
+
 def source_artifacts(t):
     source = F.struct("source_name", "name", "identifier", "schema")
     text = F.to_json(F.struct(F.create_map("unique_id", source).alias("sources")))
@@ -217,10 +222,8 @@ def _(t):
 @QUERIES.add("t02_execution_logs_variant", EXECUTION_SQL, EXECUTION_TABLES)
 def _(t):
     results = artifacts.result_rows(result_artifacts(t.test_results))
-    manifest, sources = node_artifacts(t), source_artifacts(t)
-    return telemetry.execution_logs(
-        results, artifacts.manifest_nodes(manifest), artifacts.manifest_sources(sources)
-    )
+    sources = artifacts.manifest_sources(source_artifacts(t))
+    return telemetry.execution_logs(results, parsed_nodes(t), sources)
 
 
 @QUERIES.add(
@@ -233,18 +236,18 @@ WHERE n.attached_node IS NULL""",
     ("node_tests", "node_sources"),
 )
 def _(t):
-    manifest, sources = node_artifacts(t), source_artifacts(t)
-    return telemetry.source_target(artifacts.manifest_nodes(manifest), artifacts.manifest_sources(sources))
+    sources = artifacts.manifest_sources(source_artifacts(t))
+    return telemetry.source_target(parsed_nodes(t), sources)
 
 
 @QUERIES.add("t04_model_coverage_variant", COVERAGE_CTES + "SELECT * FROM mc", NODES)
 def _(t):
-    return telemetry.model_coverage(artifacts.manifest_nodes(node_artifacts(t)))
+    return telemetry.model_coverage(parsed_nodes(t))
 
 
 @QUERIES.add("t05_column_coverage_variant", COVERAGE_CTES + "SELECT * FROM cc", NODES)
 def _(t):
-    return telemetry.column_coverage(artifacts.manifest_nodes(node_artifacts(t)))
+    return telemetry.column_coverage(parsed_nodes(t))
 
 
 FLAT_SQL = """
@@ -257,8 +260,9 @@ FROM cc JOIN mc ON cc.unique_id = mc.unique_id"""
 
 def flat(t, as_of="2026-01-02"):
     n = nodes(t)
+    tests = cut_lineage(telemetry.column_tests(n))
     return telemetry.coverage_flat(
-        telemetry.model_coverage(n), telemetry.column_coverage(n), as_of
+        telemetry.model_coverage(n, tests), telemetry.column_coverage(n, tests), as_of
     )
 
 
@@ -343,7 +347,8 @@ SELECT x.*, c.*, CASE WHEN failed_tests > 0 THEN 'CRITICAL' WHEN warning_tests >
     (*NODES, "run_results"),
 )
 def _(t):
-    newest = flat(t)
+    # Snapshots are stored: the newest day is looked for first, then read.
+    newest = cut_lineage(flat(t))
     # An older snapshot that must not count.
     older = newest.withColumns(
         {
