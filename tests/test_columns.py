@@ -120,3 +120,13 @@ def test_decode_without_default(frame):
         (None,),
         (None,),
     ]
+
+
+def test_packed_text_comes_back_and_differs(frame):
+    digits = "0123456789abcdef" * 2
+    texts = ["", "a", "x" * 15, "x" * 16, "x" * 16 + "\0", "x" * 32, digits, digits.upper(), digits[1:], digits + "0", "é" * 8, None]
+    packed = c.packed_text("t")
+    got = rows(frame([(t,) for t in texts], "t string").select("t", packed.alias("p"), c.unpacked_text(packed).alias("u")))
+    assert [u for _, _, u in got] == texts
+    assert len({bytes(p) for _, p, _ in got if p is not None}) == len(texts) - 1
+    assert [len(p) for t, p, _ in got if t == digits] == [16]

@@ -188,6 +188,51 @@ def test_product_mart_tiers_and_safe_ratios(frame):
     assert (cap.lifespan_days, cap.lifespan_months) == (0, 1.0)
 
 
+def many_sales(spark):
+    """One product with most sales, keys as hex digits and as other text, repeats and NULLs."""
+    i = F.col("id")
+    return spark.range(6000).select(
+        F.lit("s").alias("sales_item_key"),
+        F.when(i % 7 > 0, F.md5((i % 50).cast("string"))).alias("customer_key"),
+        F.when(i % 3 > 0, F.md5(F.lit("hot")))
+        .when(i % 31 == 0, F.upper(F.md5(F.lit("hot"))))
+        .when(i % 11 > 0, F.concat(F.lit("p"), (i % 40).cast("string")))
+        .alias("product_key"),
+        F.when(i % 13 > 0, (i / 2).cast("long").cast("string")).alias("order_number"),
+        F.date_add(F.lit("2020-01-01").cast("date"), (i % 900).cast("int")).alias("order_date"),
+        (i % 4).alias("quantity"),
+        F.lit(1).cast("decimal(38,9)").alias("unit_price"),
+        (i % 100).cast("decimal(38,9)").alias("gross_sales_amount"),
+    )
+
+
+@pytest.mark.parametrize("crowd", [500_000, 1])
+def test_sold_products_of_quiet_and_crowded_ones(spark, crowd):
+    sales = many_sales(spark)
+    found = sales.select(gold.crowded_products(sales.filter("product_key is not null"), crowd)).first()[0]
+    assert (len(found) > 0) == (crowd == 1)
+    plain = sales.filter("product_key is not null").groupBy("product_key").agg(
+        F.count_distinct("order_number").alias("total_orders"),
+        F.sum("gross_sales_amount").alias("total_sales"),
+        F.sum("quantity").alias("total_quantity"),
+        F.count_distinct("customer_key").alias("total_unique_customers"),
+        F.max("order_date").alias("last_sale_date"),
+        F.min("order_date").alias("_first"),
+    )
+    sold = gold.sold_products(sales, crowd)
+    assert sold.dtypes == plain.dtypes
+    assert row_set(sold) == row_set(plain) and sold.count() > 30
+
+
+def test_product_mart_shuffles_a_sale_once(spark, frame):
+    """Only sales of crowded products are doubled for the two distinct counts."""
+    products = frame([], "product_key string, product_name string, category string, subcategory string, cost double")
+    mart = gold.product_360(many_sales(spark), products)
+    plan = mart._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression [product_key") == 1
+    assert plan.count("Expand") == 1
+
+
 def test_customer_mart_segments(frame):
     customers = frame(
         [("c1", "AW1", "A", "B", dt.date(1980, 6, 1)), ("c2", "AW2", "C", "D", None)],
