@@ -71,6 +71,18 @@ def test_stored_tables_are_scanned_once(spark, frame, tmp_path):
     }
 
 
+def test_keys_are_packed_before_the_shuffle(frame):
+    """Hex digits leave a task as half their bytes, and text that looks alike stays apart."""
+    digits = "0123456789abcdef" * 2
+    child = frame([(digits,), (digits,), (digits.upper(),), ("x",), (None,)], "k string")
+    parent = frame([(digits,), ("y" * 16,)], "p string")
+    checks = [q.unique("t", "k"), q.relationships("t", "k", "parent", "p")]
+    said = q._entries(child, "t", checks)
+    assert {len(v) for (v,) in rows(said, "value") if v is not None} == {16, 33, 1}
+    failures = q.suite_failures({"t": child, "parent": parent}, checks)
+    assert rows(failures, "failures") == [(1,), (2,)]
+
+
 def test_a_table_may_be_empty(frame):
     empty = frame([], "id int, name string")
     checks = [q.not_null("t", "id"), q.unique("t", "id"), q.relationships("t", "id", "t", "id")]
