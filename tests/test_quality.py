@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from martwright.operators import quality as q
 from martwright.plans.suites import all_checks, bronze_checks, gold_checks, silver_checks
 from martwright.schemas import EXECUTION_LOGS
+from martwright.session import small_partitions
 
 
 def failing(df, check, **more):
@@ -106,6 +107,55 @@ def test_suite_grades_by_severity(frame):
     assert logs.first().run_timestamp == dt.datetime(2026, 1, 1)
 
 
+def test_a_suite_runs_in_small_partitions(spark):
+    """A task's memory follows its rows: one shuffle partition, or large ones, are not kept."""
+    before = {
+        "spark.sql.shuffle.partitions": "1",
+        "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+        "spark.sql.files.maxPartitionBytes": "1m",
+    }
+    found = {k: spark.conf.get(k) for k in before}
+    try:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+        keys = spark.range(600_000).select(F.md5(F.col("id").cast("string")).alias("k"))
+        df = keys.repartition("k").withColumn("task", F.spark_partition_id())
+        checks = [q.unique("t", "k"), q.expression("t", "task", "= 0")]
+        logs = q.run_suite({"t": df}, checks, "run-1", "2026-01-01")
+        failing = dict(rows(logs, "node_name", "rows_affected"))
+        assert failing["unique_t_k"] == 0
+        # At least two tasks of the 20 MB and more.
+        assert 0 < failing["expression_is_true_t_task"] < 600_000
+        # The session is as it was, and its smaller sizes had been kept.
+        assert {k: spark.conf.get(k) for k in before} == before
+        assert spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None) is None
+    finally:
+        for key, value in found.items():
+            spark.conf.set(key, value)
+
+
+def test_small_partitions_keep_what_is_smaller_and_end_with_an_error(spark):
+    size, first = (f"spark.sql.adaptive.{k}" for k in ("advisoryPartitionSizeInBytes", "coalescePartitions.initialPartitionNum"))
+    found = spark.conf.get(size, None)
+    try:
+        spark.conf.set(size, "512k")
+        spark.conf.set(first, "1000")
+        try:
+            with small_partitions(spark):
+                assert (spark.conf.get(size), spark.conf.get(first)) == ("512k", "1000")
+                assert spark.conf.get("spark.sql.files.maxPartitionBytes") == "32m"
+                raise ValueError("stopped")
+        except ValueError:
+            pass
+        assert spark.conf.get("spark.sql.files.maxPartitionBytes", None) != "32m"
+    finally:
+        spark.conf.unset(first)
+        if found is None:
+            spark.conf.unset(size)
+        else:
+            spark.conf.set(size, found)
+
+
 def test_declared_suites(spark):
     assert [len(s()) for s in (bronze_checks, silver_checks, gold_checks)] == [46, 57, 19]
     names = [c.name for c in all_checks()]
