@@ -143,11 +143,11 @@ def test_small_partitions_keep_what_is_smaller_and_end_with_an_error(spark):
         try:
             with small_partitions(spark):
                 assert (spark.conf.get(size), spark.conf.get(first)) == ("512k", "1000")
-                assert spark.conf.get("spark.sql.files.maxPartitionBytes") == "32m"
+                assert spark.conf.get("spark.sql.files.maxPartitionBytes") == f"{32 << 20}b"
                 raise ValueError("stopped")
         except ValueError:
             pass
-        assert spark.conf.get("spark.sql.files.maxPartitionBytes", None) != "32m"
+        assert spark.conf.get("spark.sql.files.maxPartitionBytes", None) != f"{32 << 20}b"
     finally:
         spark.conf.unset(first)
         if found is None:
